@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language_id, licenses, line_dedup, minhash, mixing, packing, topk
+from . import chat, language_id, licenses, line_dedup, minhash, mixing, packing, topk, vector_dedup
 from .common import table
 
 
@@ -98,9 +98,13 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns.unionByName(own)))
 
 
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_dedup(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")).drop("embedding", "label")
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), words=2).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_topk, op4_packing, op5_line_dedup, op6_licenses, op7_mixing, op8_chat, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_topk, op4_packing, op5_line_dedup, op6_licenses, op7_mixing, op8_chat, op9_vector_dedup, op10_minhash)}
 ORACLE_SQL = {"op2_topk": OP2_SQL, "op5_line_dedup": OP5_SQL, "op7_mixing": OP7_SQL}
