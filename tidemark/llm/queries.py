@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language_id, licenses, line_dedup, minhash, mixing, packing, topk, vector_dedup
+from . import chat, html_text, language_id, licenses, line_dedup, minhash, mixing, packing, topk, vector_dedup
 from .common import table
 
 
@@ -35,6 +35,10 @@ FROM s QUALIFY rank <= 5
 """
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -106,5 +110,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), words=2).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_topk, op4_packing, op5_line_dedup, op6_licenses, op7_mixing, op8_chat, op9_vector_dedup, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_topk, op3_html_text, op4_packing, op5_line_dedup, op6_licenses, op7_mixing, op8_chat, op9_vector_dedup, op10_minhash)}
 ORACLE_SQL = {"op2_topk": OP2_SQL, "op5_line_dedup": OP5_SQL, "op7_mixing": OP7_SQL}
