@@ -3,9 +3,9 @@
 A document's set of word shingles gives many minima of universal hashes, which are banded. Documents
 of equal sets become one class first. Classes that share a band are candidates: each is paired with
 its bucket's leader, the one that shares bands with most, and pairs are verified on signatures, then
-on the full sets. Where a bucket's classes are then in several components, pairs across these are
-compared on signatures block by block and verified too: first each class's likeliest, then all that
-are left across components. Verified links are joined by large-star and small-star.
+on the full sets. Where a bucket's classes are then in several components, its classes meet block by block, and
+those of different components are compared on signatures and verified on the sets right there, so
+that only links leave the task. Links are joined by large-star and small-star.
 
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased. Shingles and sets are held as 64-bit hashes.
 
@@ -34,9 +34,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS, SEED = 28, 5, 11
 #: Signatures of pairs at the similarity agree in less than it minus this once in some 60,000 pairs.
 MARGIN = 0.14
-#: Classes of a block where a bucket's classes are compared with each other; the pairs to other
-#: components that a class tries before it tries all.
-BLOCK, LIKELIEST = 512, 3
+#: Classes of a block where a bucket's classes are compared with each other.
+BLOCK = 1024
 #: Bytes of text hashed at once.
 GROUP = 2 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -121,10 +120,10 @@ def _sets(group: list[bytes], k: int) -> Iterator[np.ndarray]:
             s = np.sort(shingles[at : at + n - k + 1])
             yield s[np.r_[True, s[1:] != s[:-1]]]
         elif n:
-            h = np.uint64(n)
+            h = np.array([n], np.uint64)
             for w in words[at : at + n]:
-                h = _mix(np.array([h * np.uint64(0xD6E8FEB86659FD93) + w]))[0]
-            yield np.array([h], np.uint64)
+                h = _mix(h * np.uint64(0xD6E8FEB86659FD93) + w)
+            yield h
         else:
             yield words[:0]
         at += n
@@ -210,24 +209,52 @@ def _verify(percent: int):
     return run
 
 
-def _across(least: float, hashes: int, likeliest: int | None):
-    """Of two blocks of a bucket, pairs of different components whose signatures agree."""
+def _linked(x: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the others has 100 * intersection >= percent * union with x."""
+    sizes = np.array([len(y) for y in others])
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
+    both = np.add.reduceat((x[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * both >= percent * (len(x) + sizes - both)
+
+
+def _across(least: float, hashes: int, percent: int):
+    """Of two blocks of a bucket (or one with itself), links that join different components.
+
+    Classes outside the most frequent component are held against all of other components, likeliest
+    first, until one links or none is left."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates(["side", "rep"])
         left = frame[frame["side"] == 0]
         right = frame[frame["side"] == 1] if (frame["side"] == 1).any() else left
-        x, y = (np.frombuffer(b"".join(f["sig"]), np.uint32).reshape(-1, hashes) for f in (left, right))
-        ids, comps = right["rep"].to_numpy(), right["comp"].to_numpy()
+        reps = np.concatenate([left["rep"], right["rep"]])
+        names, comp = np.unique(np.concatenate([left["comp"], right["comp"]]), return_inverse=True)
+        main = np.bincount(comp).argmax()
+        sig = np.frombuffer(b"".join([*left["sig"], *right["sig"]]), np.uint32).reshape(-1, hashes)
+        whole = [np.frombuffer(w, np.uint64) for w in [*left["whole"], *right["whole"]]]
+        size, n = np.array([len(w) for w in whole]), len(left)
+        parent = np.arange(len(names))
         out = []
-        for i, (rep, comp) in enumerate(zip(left["rep"], left["comp"])):
-            share = (y == x[i]).mean(1)
-            share[(comps == comp)] = 0
-            at = np.flatnonzero(share >= least)
-            if likeliest and len(at) > likeliest:
-                at = at[np.lexsort((ids[at], -share[at]))[:likeliest]]
-            out += [(min(rep, j), max(rep, j)) for j in ids[at].tolist() if j != rep]
-        return pd.DataFrame(out, columns=["a", "b"]).drop_duplicates().astype("int64")
+        for i in np.flatnonzero(comp != main).tolist():
+            others = np.arange(n, len(reps)) if i < n else np.flatnonzero(comp[:n] == main)
+            others = others[(parent[comp[others]] != parent[comp[i]]) & (percent * np.maximum(size[others], size[i]) <= 100 * np.minimum(size[others], size[i]))]
+            if not len(others):
+                continue
+            share = (sig[others] == sig[i]).sum(1) / hashes
+            others = others[np.argsort(-share, kind="stable")[: int((share >= least).sum())]]
+            step = 4
+            while len(others):
+                ok = _linked(whole[i], [whole[j] for j in others[:step]], percent)
+                for j in others[:step][ok].tolist():
+                    x, y = parent[comp[i]], parent[comp[j]]
+                    if x != y:
+                        out.append((min(reps[i], reps[j]), max(reps[i], reps[j])))
+                        parent[parent == max(x, y)] = min(x, y)
+                others = others[step:]
+                others = others[parent[comp[others]] != parent[comp[i]]]
+                step = min(4 * step, 1024)
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
 
@@ -240,19 +267,20 @@ class NearDedup:
         self.words, self.percent, self.bands, self.rows = words, round(100 * similarity), bands, rows
         self.hashes, self.least = bands * rows, similarity - MARGIN
 
-    def pairs(self, pairs: DataFrame, reps: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """Of candidate pairs a, b: those whose signatures agree, and of these the links."""
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    def whole(self, ids: DataFrame) -> DataFrame:
+        """d, whole: the sets of the documents ids (d)."""
+        return cut(self.docs.join(ids, "d", "left_semi").mapInArrow(_whole(self.words), "d long, whole binary"))
+
+    def pairs(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
+        """Of candidate pairs a, b: those whose signatures agree and whose sets link."""
         sig = reps.select(F.col("rep"), "sig")
         signed = pairs.join(sig.toDF("a", "s1"), "a").join(sig.toDF("b", "s2"), "b").select("a", "b", "s1", "s2")
         near = cut(signed.mapInArrow(_agree(self.least, self.hashes), "a long, b long").distinct())
-        wanted = near.select(F.col("a").alias("d")).union(near.select("b")).distinct()
-        whole = cut(self.docs.join(wanted, "d", "left_semi").mapInArrow(_whole(self.words), "d long, whole binary"))
+        whole = self.whole(near.select(F.col("a").alias("d")).union(near.select("b")).distinct())
         joined = near.join(whole.toDF("a", "w1"), "a").join(whole.toDF("b", "w2"), "b").select("a", "b", "w1", "w2")
         links = cut(joined.mapInArrow(_verify(self.percent), "a long, b long").distinct())
-        drop(whole)
-        return near, links
+        drop(whole, near)
+        return links
 
     def classes(self) -> tuple[DataFrame, DataFrame]:
         """d, n, rep of all documents (rep null without words); rep, sig of classes."""
@@ -276,33 +304,30 @@ class NearDedup:
         drop(sizes, shared, weight, leaders)
         return out
 
-    def left(self, buckets: DataFrame, reps: DataFrame, links: DataFrame, likeliest: int | None) -> DataFrame | None:
-        """Candidate pairs across components of buckets that still have several; None if none has."""
+    def left(self, buckets: DataFrame, reps: DataFrame, links: DataFrame) -> DataFrame | None:
+        """Links across components of buckets that still have several; None if none has. Of buckets with
+        the same classes, one is looked at."""
         comps = cut(connected_components(links.toDF("u", "v")))
-        of = buckets.where("size > 2").join(comps.toDF("rep", "comp"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-        of = cut(of)
-        several = cut(of.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("key", "size"))
+        of = cut(buckets.where("size > 2").join(comps.toDF("rep", "comp"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp")))
+        several = of.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("print")).where("x <> y")
+        several = cut(several.groupBy("size", "print", "x", "y").agg(F.min("key").alias("key")).select("key", "size"))
         if several.isEmpty():
             return None
-        rows = of.join(several, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(reps.select("rep", "sig"), "rep")
+        rows = cut(of.join(several, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")))
+        whole = self.whole(rows.select(F.col("rep").alias("d")).distinct())
+        rows = rows.join(reps.select("rep", "sig"), "rep").join(whole.toDF("rep", "whole"), "rep")
         # a block meets each other one under a key of the two
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).withColumn("side", F.when(F.col("block") == F.col("i"), 0).otherwise(1))
-        return rows.select("key", "i", "j", "side", "rep", "comp", "sig").groupBy("key", "i", "j").applyInPandas(_across(self.least, self.hashes, likeliest), "a long, b long").distinct()
+        return cut(rows.select("key", "i", "j", "side", "rep", "comp", "sig", "whole").groupBy("key", "i", "j").applyInPandas(_across(self.least, self.hashes, self.percent), "a long, b long").distinct())
 
     def links(self, reps: DataFrame) -> DataFrame:
         buckets = self.buckets(reps)
         led = buckets.where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-        tested, links = self.pairs(led, reps, None)
-        for likeliest in (LIKELIEST, None):
-            more = self.left(buckets, reps, links, likeliest)
-            if more is None:
-                break
-            new, found = self.pairs(cut(more), reps, tested)
-            tested, links = cut(tested.union(new)), cut(links.union(found))
+        links = self.pairs(led, reps)
+        more = self.left(buckets, reps, links)
         drop(buckets)
-        return links
+        return links if more is None else cut(links.union(more))
 
 
 def near_dedup(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
