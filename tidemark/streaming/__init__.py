@@ -1 +1,21 @@
+"""Streams as a source of changes: each micro-batch is one statement."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+
+from ..engine import ViewEngine
+
+
+def inserts_into(engine: ViewEngine, table: str) -> Callable[[DataFrame, int], None]:
+    """For writeStream.foreachBatch: inserts each batch once, whatever is retried."""
+    done: set[int] = set()
+
+    def run(batch: DataFrame, number: int) -> None:
+        if number not in done:
+            engine.insert(table, batch)
+            done.add(number)
+
+    return run
