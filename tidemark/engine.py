@@ -164,6 +164,7 @@ class ViewEngine:
                 if old in v["tables"].values():
                     self._take(name)
                     v["tables"] = {k: new if t == old else t for k, t in v["tables"].items()}
+                    v["columns"] = {new if t == old else t: c for t, c in v["columns"].items()}
 
     def rename_column(self, table: str, old: str, new: str) -> None:
         with self._statement() as catalog:
