@@ -269,7 +269,8 @@ class NearDedup:
 
     def whole(self, ids: DataFrame) -> DataFrame:
         """d, whole: the sets of the documents ids (d)."""
-        return cut(self.docs.join(ids, "d", "left_semi").mapInArrow(_whole(self.words), "d long, whole binary"))
+        # a shuffle at every size: ids grow with the documents and are no fit for a broadcast
+        return cut(self.docs.join(ids.hint("shuffle_merge"), "d", "left_semi").mapInArrow(_whole(self.words), "d long, whole binary"))
 
     def pairs(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
         """Of candidate pairs a, b: those whose signatures agree and whose sets link."""
