@@ -37,7 +37,7 @@ MARGIN = 0.14
 #: Classes of a block where a bucket's classes are compared with each other.
 BLOCK = 1024
 #: Bytes of text hashed at once.
-GROUP = 2 << 20
+GROUP = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLES: dict[str, np.ndarray] = {}
 

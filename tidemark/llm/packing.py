@@ -29,9 +29,10 @@ from pyspark.sql import DataFrame
 
 WINDOW, END_ID = 4096, 2
 #: Tokens of a shard, or one document more; terms of a seed's query; BM25's parameters.
-SHARD_TOKENS, QUERY_TERMS, K1, B = 2_000_000, 12, 1.2, 0.75
-#: Words kept with their ids by a worker; characters and words of texts that are encoded together.
-CACHED, GROUP_CHARS, MANY = 1_000_000, 4 << 20, 2_000_000
+SHARD_TOKENS, QUERY_TERMS, K1, B = 1_000_000, 12, 1.2, 0.75
+#: Words learned by a worker before those not seen since are dropped; characters of texts that are
+#: encoded together.
+CACHED, GROUP_CHARS = 150_000, 4 << 20
 LETTERS = bytes([*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)])
 SIMPLE = LETTERS + bytes([*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]) + b"0123456789 \n.,"
 SMALL = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
@@ -56,7 +57,7 @@ def _tokenizer(path: str | None):
         bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         ends = np.zeros(max(full.get_vocab().values()) + 1, bool)
         ends[[i for t, i in full.get_vocab().items() if t.endswith("</w>")]] = True
-        _HELD[path] = (full, bare, ends, {})
+        _HELD[path] = (full, bare, ends, [{}, {}])
     return _HELD[path]
 
 
@@ -100,7 +101,7 @@ def _words(text: str) -> list:
 
 def encode(texts: list[str | None], path: str | None = None) -> list[bytes]:
     """Ids of each text without special tokens, as little-endian 32-bit."""
-    known = _tokenizer(path)[-1]
+    held = _tokenizer(path)[-1]
     out: list[bytes] = []
     at = 0
     while at < len(texts):
@@ -109,15 +110,15 @@ def encode(texts: list[str | None], path: str | None = None) -> list[bytes]:
             group.append(_words(texts[at] or ""))
             size += len(texts[at] or "")
             at += 1
-        new = set().union(*group).difference(known)
-        if len(known) + len(new) > CACHED:
-            known.clear()
-            new = set().union(*group)
-        if new:
+        if len(held[0]) > CACHED:
+            held[:] = {}, held[0]
+        known, before = held
+        words = set().union(*group).difference(known)
+        again = words.intersection(before)
+        known.update(zip(again, map(before.__getitem__, again)))
+        if new := words - again:
             _learn(new, known, path)
         out += [b"".join(map(known.__getitem__, words)) for words in group]
-        if any(map(MANY.__lt__, map(len, group))):  # words of a very long text may never come again
-            known.clear()
     return out
 
 
