@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import language_id, line_dedup, minhash, mixing, packing
 from tidemark.llm.common import cut, table
 
-#: A document goes if its language can't be told, or is told with a lower score.
-LEAST_SCORE = 0.5
+#: A document goes if its language can't be told, or is told with a lower score: hardly better than chance
+#: among four, so that short clean documents stay.
+LEAST_SCORE = 0.3
 #: Mean size of the mixed corpus in copies of what came before.
 EPOCHS = 1.0
 
