@@ -43,7 +43,7 @@ def _schema(json_text: str) -> T.StructType:
 class ViewEngine:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.store = spark, Store(spark, path)
-        self._scratch = spark.newSession()  # whose temporary views are the definitions' tables
+        self._scratch = spark  # replaced for each definition
         self.catalog = self.store.load()
         self._lock = threading.RLock()
         self._locks: dict[str, threading.RLock] = {}
@@ -88,7 +88,11 @@ class ViewEngine:
                 else:
                     new[kind].pop(name, None)
         new["version"] = self.catalog["version"] + 1
-        self.store.save(new)
+        try:
+            self.store.save(new)
+        except SerializationFailure:
+            self.catalog = self.store.load()  # so that the next attempt starts from what the other left
+            raise
         self.catalog = new
 
     def savepoint(self, name: str) -> None:
@@ -173,8 +177,11 @@ class ViewEngine:
             schema = _schema(t["schema"])
             if old not in schema.names:
                 raise EngineError(f'column "{old}" does not exist')
-            df = self._rows(table, catalog).withColumnRenamed(old, new)
-            t |= {"files": [self.store.write(df)], "schema": df.drop(W).schema.json(), "key": [new if k == old else k for k in t["key"]], "changed": t["changed"] + 1}
+            if new in schema.names:
+                raise EngineError(f'column "{new}" of relation "{table}" already exists')
+            fields = [T.StructField(new if f.name == old else f.name, f.dataType, f.nullable) for f in schema.fields]
+            # files keep the name that they were written with
+            t |= {"stored": t.get("stored", schema.names), "schema": T.StructType(fields).json(), "key": [new if k == old else k for k in t["key"]], "changed": t["changed"] + 1}
             for name, v in catalog["views"].items():
                 if table in v["tables"].values():
                     self._take(name)
@@ -234,9 +241,9 @@ class ViewEngine:
                 if not part:
                     continue
                 both = part[0] if len(part) == 1 else part[0].unionByName(part[1])
-                file = self.store.write(netted(both, schema.names))
-                deltas[name] = self.store.read([file], T.StructType([*schema.fields, T.StructField(W, T.LongType())]))
                 t = catalog["tables"][name]
+                file = self.store.write(netted(both, schema.names).toDF(*t.get("stored", schema.names), W))
+                deltas[name] = self._rows(name, catalog, [file])
                 t["files"], t["changed"] = [*t["files"], file], t["changed"] + 1
                 if c.deleted is not None and not deltas[name].where(F.col(W) < 0).isEmpty():
                     t["signed"] = True
@@ -245,7 +252,10 @@ class ViewEngine:
             for name in changes:
                 t = catalog["tables"][name]
                 if len(t["files"]) > FOLD:
-                    t["files"], t["signed"] = [self.store.write(netted(self._rows(name, catalog), self.table_schema(name).names))], False
+                    at, cols = self.store.tail(t["files"]), self.table_schema(name).names
+                    folded = netted(self._rows(name, catalog, t["files"][at:]), cols).toDF(*t.get("stored", cols), W)
+                    t["files"] = [*t["files"][:at], self.store.write(folded)]
+                    t["signed"] = bool(at and t.get("signed"))
 
     def truncate(self, table: str) -> None:
         self._guard(table)
@@ -262,23 +272,44 @@ class ViewEngine:
                     else:
                         v |= {"files": [], "changed": v["changed"] + 1}
 
+    def begin_batch(self, table: str, source: str, number: int) -> bool:
+        """Notes in the transaction that a source's batch goes into table; False if it is there already."""
+        self._guard(table)
+        self._take(table)
+        done = self._local.staged["tables"][table].setdefault("batches", {})
+        if number <= done.get(source, -1):
+            return False
+        done[source] = number
+        return True
+
+    def vacuum(self) -> int:
+        """Deletes files that no relation has any more, and returns their number. Not for use while
+        statements run or rows that were read before are still needed."""
+        with self._lock:
+            held = {f for kind in ("tables", "views") for d in self.catalog[kind].values() for f in d["files"]}
+            gone = [f for f in self.store.files() if f not in held]
+            self.store.drop(gone)
+        return len(gone)
+
     # -- states
 
     def _rows(self, name: str, catalog: dict, files: list[str] | None = None) -> DataFrame:
         t = catalog["tables"][name]
         schema = _schema(t["schema"])
-        df = self.store.read(t["files"] if files is None else files, T.StructType([*schema.fields, T.StructField(W, T.LongType())]))
-        return df
+        stored = t.get("stored", schema.names)
+        held = T.StructType([*[T.StructField(s, f.dataType) for s, f in zip(stored, schema.fields)], T.StructField(W, T.LongType())])
+        df = self.store.read(t["files"] if files is None else files, held)
+        return df if stored == schema.names else df.toDF(*schema.names, W)
 
-    def _state(self, name: str, catalog: dict, files: list[str] | None = None, owner: str | None = None) -> DataFrame:
-        """A table's rows with positive weights, as its owner's filter shows them."""
+    def _state(self, name: str, catalog: dict, files: list[str] | None = None, owner: str | None = None, raw: bool = False) -> DataFrame:
+        """A table's rows as its owner's filter shows them; with positive weights unless raw."""
         t = catalog["tables"][name]
         df = self._rows(name, catalog, files)
-        if t.get("signed"):
+        if t.get("signed") and (not raw or owner in t["filter"]):
             df = netted(df, _schema(t["schema"]).names)
         return df.where(t["filter"][owner]) if owner in t["filter"] else df
 
-    def _tables(self, name: str, catalog: dict, before: dict, deltas: dict[str, DataFrame]):
+    def _tables(self, name: str, catalog: dict, before: dict, deltas: dict[str, DataFrame], raw: bool = False):
         """What a view's plan reads, under the names that the definition uses."""
         v = catalog["views"][name]
 
@@ -289,7 +320,7 @@ class ViewEngine:
                 df = deltas.get(real)
                 df = df.where(condition[owner]) if df is not None and owner in condition else df
             else:
-                df = self._state(real, catalog, before[real]["files"] if when == "pre" else None, owner)
+                df = self._state(real, catalog, before[real]["files"] if when == "pre" else None, owner, raw)
             if df is None:
                 return None
             for a, b in v["columns"].get(real, {}).items():
@@ -303,7 +334,7 @@ class ViewEngine:
         v = catalog["views"][name]
         frames = {}
         for called, real in v["tables"].items():
-            df = self._scratch.createDataFrame([], _schema(catalog["tables"][real]["schema"]))
+            df = self.spark.createDataFrame([], _schema(catalog["tables"][real]["schema"]))
             for a, b in v["columns"].get(real, {}).items():
                 df = df.withColumnRenamed(b, a)
             frames[called] = df
@@ -311,13 +342,12 @@ class ViewEngine:
 
     def _analyzed(self, sql: str, frames: dict[str, DataFrame], views: set[str], listed: list[str]) -> ir.View:
         with self._lock:
+            # a session of its own for the tables' names, with the functions that are registered by now
+            self._scratch = SparkSession(self.spark.sparkContext, self.spark._jsparkSession.cloneSession())
+            frames = {called: self._scratch.createDataFrame([], df.schema) for called, df in frames.items()}
             for called, df in frames.items():
                 df.createOrReplaceTempView(called)
-            try:
-                view = analyze.Definition(self._scratch, sql, views, frames).analyze()
-            finally:
-                for called in frames:
-                    self._scratch.catalog.dropTempView(called)
+            view = analyze.Definition(self._scratch, sql, views, frames).analyze()
         if len(listed) > len(view.visible):
             raise EngineError("too many column names were specified")
         called = dict(zip(view.visible, listed)) if len(set(view.visible)) == len(view.visible) else {}
@@ -349,7 +379,7 @@ class ViewEngine:
     def _register(self, plain: str, listed: list[str], sql: str, owner: str, catalog: dict) -> ir.View:
         if self._relation(catalog, plain):
             raise EngineError(f'relation "{plain}" already exists')
-        frames = {t: self._scratch.createDataFrame([], _schema(d["schema"])) for t, d in catalog["tables"].items()}
+        frames = {t: self.spark.createDataFrame([], _schema(d["schema"])) for t, d in catalog["tables"].items()}
         view = self._analyzed(sql, frames, set(catalog["views"]), listed)
         self._take(plain)
         catalog["views"][plain] = {"sql": sql, "names": listed, "owner": owner, "tables": {t: t for t in view.tables()}, "columns": {}, "files": [], "schema": None, "maintained": True, "populated": False, "changed": 1, "keys": []}
@@ -386,10 +416,14 @@ class ViewEngine:
 
     def _maintain(self, name: str, catalog: dict, before: dict, deltas: dict[str, DataFrame]) -> None:
         v, view = catalog["views"][name], self._view(name, catalog)
-        delta = Delta(self._tables(name, catalog, before, deltas))
+        # rows that were taken away may be read beside what took them where no expression fails on them
+        signed = lambda called: view.total and catalog["tables"][v["tables"][called]].get("signed", False)
+        delta = Delta(self._tables(name, catalog, before, deltas, view.total), signed)
         change = delta.delta(view.body)
         if change is None:
             return
+        if merge.extremes(view):  # what cancels out is neither a new nor a lost extreme
+            change = netted(change, [c for c in change.columns if c != W])
         schema = _schema(v["schema"])
         stored = self.store.read(v["files"], schema)
         part = merge.partial(view, change)
@@ -400,7 +434,8 @@ class ViewEngine:
             part = part.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
             files = [*v["files"], self.store.write(part)]
             if len(files) > FOLD:
-                files = [self.store.write(merge.summed(view, self.store.read(files, schema)))]
+                at = self.store.tail(files)
+                files = [*files[:at], self.store.write(merge.summed(view, self.store.read(files[at:], schema), not at))]
         v |= {"files": files, "changed": v["changed"] + 1}
 
     def refresh_view(self, name: str, with_data: bool = True) -> int:

@@ -3,6 +3,9 @@
 Deltas are bags with signed weights. A node below which nothing changed has no delta (None), so its
 side of a join is never joined with nothing. Spark plans every product, and may broadcast deltas
 where their size allows.
+
+States may be signed bags too, with rows and what took them away side by side: products and sums take
+them as they are, and what asks whether a row is there nets them first.
 """
 
 from __future__ import annotations
@@ -26,8 +29,14 @@ def _union(parts: list[DataFrame | None]) -> DataFrame | None:
 
 
 class Delta:
-    def __init__(self, tables: Tables):
-        self.tables = tables
+    def __init__(self, tables: Tables, signed: Callable[[str], bool] = lambda table: False):
+        self.tables, self.signed = tables, signed
+
+    def nets(self, n: ir.Node, df: DataFrame) -> DataFrame:
+        """df, a state of n or part of it, netted if it may be signed."""
+        if any(isinstance(x, ir.Scan) and self.signed(x.table) for x in ir.walk(n)):
+            return netted(df, [c for c in df.columns if c != W])
+        return df
 
     def pre(self, n: ir.Node) -> DataFrame:
         return self._state(n, "pre")
@@ -53,6 +62,7 @@ class Delta:
         left, right = self._state(n.left, when), self._state(n.right, when)
         if n.kind == "inner":
             return self._product(left, right, n)
+        left, right = self.nets(n.left, left), self.nets(n.right, right)
         joined = left.withColumnRenamed(W, "__l").join(right.withColumnRenamed(W, "__r"), n.condition, n.kind)
         return joined.select(*n.cols, (F.coalesce("__l", F.lit(1)) * F.coalesce("__r", F.lit(1))).cast("long").alias(W))
 
@@ -120,7 +130,7 @@ class Delta:
         if child is not None:
             parts.append(self._counted(netted(child, n.child.cols), self.pre(n.inner), n))
         if inner is not None:
-            rows = netted(self.post(n.child), n.child.cols)
-            touched = rows.join(netted(inner, n.inner.cols), n.condition, "left_semi")
+            # the semi join first: only rows that the change touches are shuffled by all their columns
+            touched = netted(self.post(n.child).join(netted(inner, n.inner.cols), n.condition, "left_semi"), n.child.cols)
             parts += [self._counted(touched, self.pre(n.inner), n).withColumn(W, -F.col(W)), self._counted(touched, self.post(n.inner), n)]
         return _union(parts)

@@ -73,11 +73,11 @@ def partial(view: ir.View, body: DataFrame) -> DataFrame:
     return body.groupBy(*keys).agg(*out, F.sum(W).cast("long").alias(COUNT))
 
 
-def summed(view: ir.View, stored: DataFrame) -> DataFrame:
-    """The state that stored files add up to, one row per group or different row."""
+def summed(view: ir.View, stored: DataFrame, whole: bool = True) -> DataFrame:
+    """What stored files add up to, one row per group or different row; the state if they are the whole."""
     if view.kind != "aggregate":
         cols = [*view.keys, *view.exists]
-        return netted(stored, cols).where(F.col(W) > 0)
+        return netted(stored, cols).where(F.col(W) > 0) if whole else netted(stored, cols)
     out = []
     for c in stored.columns:
         if c in view.keys:
@@ -88,7 +88,7 @@ def summed(view: ir.View, stored: DataFrame) -> DataFrame:
         else:
             out.append(F.sum(c).cast(stored.schema[c].dataType).alias(c))
     state = stored.groupBy(*[F.col(k) for k in view.keys]).agg(*out)
-    return state.where(F.col(COUNT) > 0) if view.keys else state
+    return state.where(F.col(COUNT) > 0) if view.keys and whole else state
 
 
 def read(view: ir.View, stored: DataFrame) -> DataFrame:
@@ -147,9 +147,9 @@ def merged(view: ir.View, state: DataFrame, change: DataFrame, delta: Delta) ->
         for i, k in enumerate(view.keys):
             same = F.col(own[k]).eqNullSafe(F.col(f"__k{i}"))
             on = same if on is None else on & same
-        again = partial(view, body.join(lost, on, "left_semi")).where(F.col(COUNT) > 0)
+        again = partial(view, delta.nets(view.body, body.join(lost, on, "left_semi"))).where(F.col(COUNT) > 0)
     else:
         lost = full.where("__stale").select("__one")
-        again = partial(view, body.withColumn("__o", F.lit(1)).join(lost, F.col("__o") == F.col("__one"), "left_semi")).join(lost.limit(1), F.lit(True), "left_semi")
+        again = partial(view, delta.nets(view.body, body.withColumn("__o", F.lit(1)).join(lost, F.col("__o") == F.col("__one"), "left_semi").drop("__o"))).join(lost.limit(1), F.lit(True), "left_semi")
     again = again.select(*[F.col(c).cast(state.schema[c].dataType).alias(c) for c in state.columns])
     return fresh.select(*state.columns).unionByName(again)

@@ -74,6 +74,7 @@ class View:
     source: list[str]  # body column of each visible column, None for an aggregate
     aggs: list[Agg] = field(default_factory=list)
     exists: list[str] = field(default_factory=list)
+    total: bool = False  # no expression fails, whatever rows it sees
 
     @property
     def keys(self) -> list[str]:

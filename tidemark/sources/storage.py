@@ -2,8 +2,10 @@
 
 A relation's state is the bag sum of its files: rows carry a weight, positive for copies added and
 negative for copies taken. A statement writes its delta only; once a relation has many files they
-are folded into one. The catalog is JSON, replaced whole by a rename, so readers see all of a
-transaction or nothing.
+those that are small beside their successors are folded, so a large file is seldom written again. The
+catalog is JSON, one file per version, which a rename publishes: readers see all of a transaction or
+nothing, and a version that another driver has published is refused. (The rename itself refuses where
+the file system's does, as HDFS's; elsewhere a look before it does.)
 """
 
 from __future__ import annotations
@@ -15,9 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import SerializationFailure
+
 W = "__w"
-#: Files of a relation before they are folded.
-FOLD = 8
+#: Files of a relation before some are folded; a file is folded with those after it once they have this
+#: share of its bytes.
+FOLD, SHARE = 8, 0.5
+TAKEN = "another driver has published version %d"
 
 
 class Store:
@@ -43,19 +49,36 @@ class Store:
         for f in files:
             self._fs.delete(self._path(f"{self.path}/{f}"), True)
 
+    def tail(self, files: list[str]) -> int:
+        """From which of the files on to fold: two at least, and each that is not large beside the rest."""
+        sizes = [self._fs.getContentSummary(self._path(f"{self.path}/{f}")).getLength() for f in files]
+        at, total = len(files) - 2, sum(sizes[-2:])
+        while at > 0 and SHARE * sizes[at - 1] <= total:
+            at -= 1
+            total += sizes[at]
+        return at
+
+    def files(self) -> list[str]:
+        where = self._path(f"{self.path}/data")
+        return [f"data/{s.getPath().getName()}" for s in self._fs.listStatus(where)] if self._fs.exists(where) else []
+
     def save(self, catalog: dict) -> None:
-        to, tmp = self._path(f"{self.path}/catalog.json"), self._path(f"{self.path}/catalog-{uuid.uuid4().hex}.tmp")
+        version = catalog["version"]
+        to, tmp = self._path(f"{self.path}/catalog-{version:012d}.json"), self._path(f"{self.path}/{uuid.uuid4().hex}.tmp")
         out = self._fs.create(tmp, True)
         out.write(bytearray(json.dumps(catalog).encode()))
         out.close()
-        self._fs.delete(to, False)
-        self._fs.rename(tmp, to)
+        if self._fs.exists(to) or not self._fs.rename(tmp, to):
+            self._fs.delete(tmp, False)
+            raise SerializationFailure(TAKEN % version)
+        # the one before stays for those who are about to read it
+        self._fs.delete(self._path(f"{self.path}/catalog-{version - 2:012d}.json"), False)
 
     def load(self) -> dict:
-        at = self._path(f"{self.path}/catalog.json")
-        if not self._fs.exists(at):
+        found = self._fs.globStatus(self._path(f"{self.path}/catalog-*.json"))
+        if not found:
             return {"version": 0, "tables": {}, "views": {}}
-        stream = self._fs.open(at)
+        stream = self._fs.open(self._path(f"{self.path}/{max(s.getPath().getName() for s in found)}"))
         text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         stream.close()
         return json.loads(text)

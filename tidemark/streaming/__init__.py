@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame
 from ..engine import ViewEngine
 
 
-def inserts_into(engine: ViewEngine, table: str) -> Callable[[DataFrame, int], None]:
-    """For writeStream.foreachBatch: inserts each batch once, whatever is retried."""
-    done: set[int] = set()
+def inserts_into(engine: ViewEngine, table: str, source: str = "stream") -> Callable[[DataFrame, int], None]:
+    """For writeStream.foreachBatch: inserts each batch of a source once, whatever is retried or
+    restarted, as a batch's number is published with its rows."""
 
     def run(batch: DataFrame, number: int) -> None:
-        if number not in done:
-            engine.insert(table, batch)
-            done.add(number)
+        with engine.transaction():
+            if engine.begin_batch(table, source, number):
+                engine.insert(table, batch)
 
     return run
