@@ -102,13 +102,63 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns.unionByName(own)))
 
 
+OP8_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, turn, role, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS own(turn, role)),
+f AS (
+  SELECT *, regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') AS said,
+    regexp_replace(replace(replace(replace(role, '\', '\\'), chr(10), '\n'), chr(13), '\r'), '<(\\*)\|', '<\1\\|', 'g') AS who
+  FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|>') + length(who) + length(said) + length('<|im_end|>') + 2) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+
 def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_dedup(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")).drop("embedding", "label")
 
 
+OP9_SQL = r"""
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) END >= 0.93),
+r AS (SELECT a AS d, b AS c FROM e UNION SELECT r.d, e.b FROM r JOIN e ON e.a = r.c),
+m AS (SELECT d, min(c) AS c FROM r GROUP BY d),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(m.c, vec_id)) AS component_id, coalesce(vec_id <= m.c, true) AS kept
+FROM embeddings LEFT JOIN m ON m.d = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), words=2).drop("text")
 
 
+OP10_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || ' ' || p[2])) ELSE w END AS s FROM w),
+k AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS k FROM s),
+l AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM k a JOIN k b ON a.k = b.k AND a.doc_id < b.doc_id AND 80 * a.n <= 100 * b.n AND 80 * b.n <= 100 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS d, b AS c FROM e UNION SELECT r.d, e.b FROM r JOIN e ON e.a = r.c),
+m AS (SELECT d, min(c) AS c FROM r GROUP BY d)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m.c, s.doc_id)) AS component_id, coalesce(s.doc_id <= m.c, true) AS kept
+FROM s LEFT JOIN m ON m.d = s.doc_id
+"""
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_topk, op3_html_text, op4_packing, op5_line_dedup, op6_licenses, op7_mixing, op8_chat, op9_vector_dedup, op10_minhash)}
-ORACLE_SQL = {"op2_topk": OP2_SQL, "op5_line_dedup": OP5_SQL, "op7_mixing": OP7_SQL}
+ORACLE_SQL = {"op2_topk": OP2_SQL, "op5_line_dedup": OP5_SQL, "op7_mixing": OP7_SQL, "op8_chat": OP8_SQL, "op9_vector_dedup": OP9_SQL, "op10_minhash": OP10_SQL}
