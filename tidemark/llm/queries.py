@@ -68,6 +68,48 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def _op6_sql() -> str:
+    """Grams of the templates with their positions, hits on them, and votes by diagonal."""
+    grams = []
+    for phrase, k, texts in ((True, licenses.PHRASE_K, licenses.PHRASES), (False, licenses.NOTICE_K, {t: x for x, t in licenses.NOTICES.items()})):
+        for text, label in texts.items():
+            w = licenses._words(text)
+            grams += [f"({phrase}, '{label}', '{' '.join(w)}', {i}, '{' '.join(w[i : i + k])}', {len(w) - k + 1}, {k})" for i in range(len(w) - k + 1)]
+    return rf"""
+WITH g(phrase, label, template, tpos, gram, grams, k) AS (VALUES {", ".join(grams)}),
+w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+p AS (SELECT doc_id, w, unnest(range(len(w))) AS pos FROM w),
+d AS (
+  SELECT DISTINCT doc_id, phrase, label, template, grams, tpos, pos - tpos AS diagonal
+  FROM p JOIN g ON g.gram = array_to_string(w[pos + 1 : pos + {licenses.PHRASE_K}], ' ') AND k = {licenses.PHRASE_K}
+  UNION
+  SELECT DISTINCT doc_id, phrase, label, template, grams, tpos, pos - tpos
+  FROM p JOIN g ON g.gram = array_to_string(w[pos + 1 : pos + {licenses.NOTICE_K}], ' ') AND k = {licenses.NOTICE_K}),
+n AS (
+  SELECT *, CASE WHEN phrase THEN diagonal <> coalesce(lag(diagonal) OVER o, diagonal - 1)
+    ELSE diagonal - coalesce(lag(diagonal) OVER o, diagonal - {licenses.NEAR + 1}) > {licenses.NEAR} END AS new
+  FROM d WINDOW o AS (PARTITION BY doc_id, phrase, template ORDER BY diagonal, tpos)),
+q AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id, phrase, template ORDER BY diagonal, tpos) AS place FROM n),
+v AS (
+  SELECT doc_id, phrase, label, grams, min(diagonal) AS start, count(DISTINCT tpos) AS votes
+  FROM q GROUP BY doc_id, phrase, label, template, grams, place),
+b AS (SELECT *, phrase AND votes = grams AS base, phrase AND votes = grams OR NOT phrase AND votes >= {licenses.SHARE} * grams AS good FROM v),
+a AS (
+  SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE good) AS labels,
+    max(CAST(votes AS DOUBLE) / grams) FILTER (WHERE good) AS score
+  FROM b GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM w LEFT JOIN a ON a.doc_id IS NOT DISTINCT FROM w.doc_id
+"""
+
+
+OP6_SQL = _op6_sql()
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     return mixing.mix(docs).select("doc_id", "source", "n_chars", "copy", F.round("place", 9).alias("place"))
@@ -161,4 +203,4 @@ FROM s LEFT JOIN m ON m.d = s.doc_id
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_topk, op3_html_text, op4_packing, op5_line_dedup, op6_licenses, op7_mixing, op8_chat, op9_vector_dedup, op10_minhash)}
-ORACLE_SQL = {"op2_topk": OP2_SQL, "op5_line_dedup": OP5_SQL, "op7_mixing": OP7_SQL, "op8_chat": OP8_SQL, "op9_vector_dedup": OP9_SQL, "op10_minhash": OP10_SQL}
+ORACLE_SQL = {"op2_topk": OP2_SQL, "op5_line_dedup": OP5_SQL, "op6_licenses": OP6_SQL, "op7_mixing": OP7_SQL, "op8_chat": OP8_SQL, "op9_vector_dedup": OP9_SQL, "op10_minhash": OP10_SQL}
