@@ -152,6 +152,11 @@ def test_packing(docs):
         assert at & (at - 1) == 0 and at <= 4096
 
 
+def test_packing_short_documents():
+    windows = packing.fill([np.array([5 + i % 2] * 9 + [2], "<u4") for i in range(600)])
+    assert {d % 2 for d, *_ in windows[0][:300]} == {0}, "neighbours come before others, however many there are"
+
+
 def test_licenses(spark):
     rows = [(1, "The MIT license, cc BY. Apache\nLicense! cc by"), (2, None), (3, "gnu general public licenses"), (4, "GNU General-Public license mit  license"), (4, "GNU General-Public license mit  license"), (5, licenses.NOTICES["bsd"] + " x"), (6, "é")]
     got = sorted(map(tuple, licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels").collect()))

@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 WINDOW, END_ID = 4096, 2
-#: Tokens of a shard, or one document more; terms of a seed's query; BM25's parameters.
-SHARD_TOKENS, QUERY_TERMS, K1, B = 1_000_000, 12, 1.2, 0.75
+#: Tokens of a shard, or one document more; terms of a seed's query; neighbours asked for at once; BM25's parameters.
+SHARD_TOKENS, QUERY_TERMS, NEXT, K1, B = 1_000_000, 12, 64, 1.2, 0.75
 #: Words learned by a worker before those not seen since are dropped; characters of texts that are
 #: encoded together.
 CACHED, GROUP_CHARS = 150_000, 4 << 20
@@ -166,8 +166,9 @@ class Index:
         scores[used] = 0
         found = np.flatnonzero(scores)
         if len(found) > most:
-            found = found[np.argpartition(-scores[found], most)[:most]]
-        return found[np.lexsort((found, -scores[found]))]
+            least = np.partition(scores[found], -most)[-most]
+            found = found[scores[found] >= least]
+        return found[np.lexsort((found, -scores[found]))][:most]
 
 
 def fill(ids: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
@@ -208,12 +209,15 @@ def fill(ids: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, in
         seed = None
         if continue_with is None:
             continue
-        for doc in index.neighbours(continue_with, used, 64):
-            begun = len(windows)
-            cut = place(int(doc))
-            if cut:
-                seed = int(doc)
-            if len(windows) > begun:
+        begun = len(windows)
+        while len(windows) == begun:  # a window of many short documents asks for its next neighbours
+            found = index.neighbours(continue_with, used, NEXT)
+            for doc in found:
+                if place(int(doc)):
+                    seed = int(doc)
+                if len(windows) > begun:
+                    break
+            if len(found) < NEXT:
                 break
     # the rest, cut at powers of two
     left = window - room
