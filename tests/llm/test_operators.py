@@ -157,6 +157,27 @@ def test_packing_short_documents():
     assert {d % 2 for d, *_ in windows[0][:300]} == {0}, "neighbours come before others, however many there are"
 
 
+def test_packing_scores_all_terms():
+    draw = random.Random(3)
+    ids = [np.array([3 + int(400 * draw.random() ** 2) for _ in range(draw.randrange(1, 300))] + [2], "<u4") for _ in range(120)]
+    n, mean = len(ids), sum(map(len, ids)) / len(ids)
+    counts = [{t: x.tolist().count(t) for t in set(x.tolist()) - {2}} for x in ids]
+    df = {t: sum(t in c for c in counts) for c in counts for t in c}
+
+    def bm25(seed, doc):
+        some = counts[seed].keys() & counts[doc].keys()
+        norm = packing.K1 * (1 - packing.B + packing.B * len(ids[doc]) / mean)
+        return sum(np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * counts[doc][t] * (packing.K1 + 1) / (counts[doc][t] + norm) for t in some)
+
+    index = packing.Index(ids)
+    for seed in range(n):
+        used = np.arange(n) == seed
+        found = index.neighbours(seed, used, n).tolist()
+        best = sorted((-bm25(seed, d), d) for d in range(n) if d != seed and counts[seed].keys() & counts[d].keys())
+        assert sorted(found) == sorted(d for _, d in best)
+        assert np.allclose([-bm25(seed, d) for d in found], [s for s, _ in best])
+
+
 def test_licenses(spark):
     rows = [(1, "The MIT license, cc BY. Apache\nLicense! cc by"), (2, None), (3, "gnu general public licenses"), (4, "GNU General-Public license mit  license"), (4, "GNU General-Public license mit  license"), (5, licenses.NOTICES["bsd"] + " x"), (6, "é")]
     got = sorted(map(tuple, licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels").collect()))

@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 WINDOW, END_ID = 4096, 2
-#: Tokens of a shard, or one document more; terms of a seed's query; neighbours asked for at once; BM25's parameters.
-SHARD_TOKENS, QUERY_TERMS, NEXT, K1, B = 1_000_000, 12, 64, 1.2, 0.75
+#: Tokens of a shard, or one document more; neighbours asked for at once; BM25's parameters.
+SHARD_TOKENS, NEXT, K1, B = 1_000_000, 64, 1.2, 0.75
 #: Words learned by a worker before those not seen since are dropped; characters of texts that are
 #: encoded together.
 CACHED, GROUP_CHARS = 150_000, 4 << 20
@@ -149,20 +149,20 @@ class Index:
         by = np.argsort(terms, kind="stable")
         self.post_docs, self.post_weight = docs[by], weight[by]
         self.post_at = np.searchsorted(terms[by], np.arange(size + 1))
-        self.terms, self.weight = terms, weight
+        self.terms = terms
         self.at = np.searchsorted(docs, np.arange(n + 1))
-        self.idf = idf
+        self.asked, self.scores = -1, np.zeros(n)
 
     def neighbours(self, seed: int, used: np.ndarray, most: int) -> np.ndarray:
-        """Unused documents that share one of the seed's weightiest terms, best first."""
-        s, e = self.at[seed], self.at[seed + 1]
-        terms, weight = self.terms[s:e], self.weight[s:e]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]]
-        spans = [slice(self.post_at[t], self.post_at[t + 1]) for t in terms]
-        if not spans:
-            return np.zeros(0, np.int64)
-        scores = np.bincount(np.concatenate([self.post_docs[x] for x in spans]), np.concatenate([self.post_weight[x] for x in spans]), self.n)
+        """Unused documents that share a term with the seed, best first by all of its terms."""
+        if seed != self.asked:
+            terms = self.terms[self.at[seed] : self.at[seed + 1]]
+            spans = [slice(i, j) for i, j in zip(self.post_at[terms].tolist(), self.post_at[terms + 1].tolist())]
+            if not spans:
+                return np.zeros(0, np.int64)
+            self.asked = seed
+            self.scores = np.bincount(np.concatenate([self.post_docs[x] for x in spans]), np.concatenate([self.post_weight[x] for x in spans]), self.n)
+        scores = self.scores
         scores[used] = 0
         found = np.flatnonzero(scores)
         if len(found) > most:
