@@ -178,6 +178,25 @@ def test_packing_scores_all_terms():
         assert np.allclose([-bm25(seed, d) for d in found], [s for s, _ in best])
 
 
+def test_packing_by_content(spark, monkeypatch):
+    """Documents of a topic are far apart in the table; they meet in a shard, weighed by all documents."""
+    draw, seen = random.Random(4), []
+    rows = [(i, " ".join(draw.choice(WORDS[30 * (i % 10) : 30 * (i % 10) + 30]) for _ in range(60))) for i in range(400)]
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 8000)
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), window=512).collect()
+    assert len({p.doc_id for p in pieces}) == 400
+    for p in pieces:
+        seen.append((p.sequence_id, p.doc_id % 10))
+    together = {}
+    for s, topic in seen:
+        together.setdefault(s, []).append(topic)
+    share = sum(max(map(t.count, t)) for t in together.values()) / len(seen)
+    assert share > 0.8
+    ids = [np.array(x, "<u4") for x in ([5, 6, 2], [5, 7, 2], [6, 7, 2])]
+    index = packing.Index(ids, (1000, 3.0, np.array([0, 0, 1000, 0, 0, 900, 3, 500])))
+    assert index.neighbours(0, np.array([True, False, False]), 3).tolist() == [2, 1]
+
+
 def test_licenses(spark):
     rows = [(1, "The MIT license, cc BY. Apache\nLicense! cc by"), (2, None), (3, "gnu general public licenses"), (4, "GNU General-Public license mit  license"), (4, "GNU General-Public license mit  license"), (5, licenses.NOTICES["bsd"] + " x"), (6, "é")]
     got = sorted(map(tuple, licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels").collect()))

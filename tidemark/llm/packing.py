@@ -1,13 +1,15 @@
 """Lexical retrieval packing.
 
-Documents are read in shards of consecutive rows of a partition, of a bounded number of tokens. Each
-shard has a BM25 inverted index over its token ids. A window starts with a seed, the next unused
+Documents are put in an order of content and read in shards of consecutive rows of it, of a bounded
+number of tokens. Each shard has a BM25 inverted index over its token ids, with the frequencies and
+the mean length of all documents. Neighbours are sought in the seed's shard only. A window starts with a seed, the next unused
 document, and takes the seed's best-scoring unused neighbours until it is full; the document that
 overflows is cut, and its rest is the next window's seed. Where a seed has no neighbour left, the
 next unused document follows. What is left at a shard's end is cut at powers of two, which need no
 padding, so no sequence is padded at all.
 
-No row leaves its partition, so a hot source or key is as good as any other.
+The order: documents are projected to a few dimensions by their weighted terms, and sorted by the
+nearest of some sampled centres, the second and the third; doc_id and row split a hot group.
 
 Defined results: null or empty text is its end id alone; repeated rows are packed each; equal scores
 go to the earlier row; an empty table gives no rows; null doc_id is passed on. Other columns are not
@@ -16,6 +18,7 @@ read.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import zlib
@@ -26,10 +29,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut
 
 WINDOW, END_ID = 4096, 2
 #: Tokens of a shard, or one document more; neighbours asked for at once; BM25's parameters.
 SHARD_TOKENS, NEXT, K1, B = 1_000_000, 64, 1.2, 0.75
+#: Documents that centres are learned from, and centres at most; dimensions; bins of terms; shards of a partition.
+SAMPLE, CENTRES, DIMENSIONS, BINS, SHARDS = 4000, 256, 256, 1 << 16, 4
 #: Words learned by a worker before those not seen since are dropped; characters of texts that are
 #: encoded together.
 CACHED, GROUP_CHARS = 150_000, 4 << 20
@@ -130,10 +138,52 @@ def _ids(texts: pa.Array, path: str | None) -> Iterator[np.ndarray]:
             yield np.frombuffer(x + end, "<u4")
 
 
+def _counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bins of a document's terms but for the end, and the weights of their counts."""
+    terms, tf = np.unique(ids[:-1] % BINS, return_counts=True)
+    return terms, np.log1p(tf).astype("f4")
+
+
+@functools.cache
+def _axes() -> np.ndarray:
+    return np.random.default_rng(0).standard_normal((BINS, DIMENSIONS), "f4")
+
+
+class Order:
+    """A document's place by content: its nearest centres."""
+
+    def __init__(self, sample: list[tuple[np.ndarray, np.ndarray]], tokens: int, shard: int):
+        df = np.zeros(BINS)
+        for terms, _ in sample:
+            df[terms] += 1
+        self.idf = np.log1p((len(sample) - df + 0.5) / (df + 0.5)).astype("f4")
+        x = np.array([self.project(*s) for s in sample], "f4").reshape(-1, DIMENSIONS)
+        k = min(CENTRES, len(x), max(1, 2 * tokens // shard))
+        c = x[np.linspace(0, len(x) - 1, k).astype(int)] if k else x
+        for _ in range(8 if k else 0):
+            near = (x @ c.T).argmax(1)
+            for i in np.unique(near):
+                mean = x[near == i].sum(0)
+                c[i] = mean / max(1e-9, float(np.sqrt(mean @ mean)))
+        chain, left = [0] if k else [], list(range(1, k))  # so that centres next to each other are alike
+        while left:
+            chain.append(left.pop(int((c[left] @ c[chain[-1]]).argmax())))
+        self.centres = c[chain]
+
+    def project(self, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        x = (weight * self.idf[terms]) @ _axes()[terms]
+        return x / max(1e-9, float(np.sqrt(x @ x)))
+
+    def key(self, ids: np.ndarray) -> int:
+        near = np.argsort(-(self.centres @ self.project(*_counts(ids))), kind="stable")[:3].tolist()
+        return sum(c * CENTRES ** (2 - i) for i, c in enumerate(near))
+
+
 class Index:
-    """BM25 over the token ids of a shard's documents."""
+    """BM25 over the token ids of a shard's documents; of: how many documents there are in all, their
+    mean length and in how many each term is, by default those of the shard."""
 
-    def __init__(self, ids: list[np.ndarray]):
+    def __init__(self, ids: list[np.ndarray], of: tuple[int, float, np.ndarray] | None = None):
         n = self.n = len(ids)
         lengths = np.array([len(x) for x in ids], np.int64)
         flat = np.concatenate(ids).astype(np.int64)
@@ -141,8 +191,10 @@ class Index:
         pairs, tf = np.unique(np.repeat(np.arange(n), lengths) * size + flat, return_counts=True)
         docs, terms = pairs // size, pairs % size
         df = np.bincount(terms, minlength=size)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean()))
+        among, mean, known = of or (n, lengths.mean(), df)
+        known = known[:size]
+        idf = np.log1p((among - known + 0.5) / (known + 0.5))
+        norm = K1 * (1 - B + B * lengths / max(1.0, mean))
         weight = idf[terms] * tf * (K1 + 1) / (tf + norm[docs])
         shared = (df[terms] > 1) & (terms != END_ID)  # a term of one document finds no other
         docs, terms, weight = docs[shared], terms[shared], weight[shared]
@@ -171,10 +223,10 @@ class Index:
         return found[np.lexsort((found, -scores[found]))][:most]
 
 
-def fill(ids: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+def fill(ids: list[np.ndarray], window: int = WINDOW, of: tuple[int, float, np.ndarray] | None = None) -> list[list[tuple[int, int, int]]]:
     """Windows of (document, start, length); all but those at the end are full, and those have lengths
     of powers of two."""
-    index, n = Index(ids), len(ids)
+    index, n = Index(ids, of), len(ids)
     used = np.zeros(n, bool)
     windows: list[list[tuple[int, int, int]]] = []
     now: list[tuple[int, int, int]] = []
@@ -242,7 +294,7 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, wi
 
     def shard(keys: list, ids: list[np.ndarray], sequence: int) -> tuple[pa.RecordBatch, int]:
         rows, pieces = [], []
-        for w in fill(ids, window):
+        for w in fill(ids, window, of):
             offset = 0
             for doc, at, length in w:
                 piece = ids[doc][at : at + length].tobytes()
@@ -261,10 +313,10 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, wi
         sequence = TaskContext.get().partitionId() << 40
         keys, ids, size = [], [], 0
         for b in batches:
-            for key, x in zip(b.column("doc_id").to_pylist(), _ids(b.column("text"), tokenizer)):
+            for key, x in zip(b.column("doc_id").to_pylist(), b.column("ids")):
                 keys.append(key)
-                ids.append(x)
-                size += len(x)
+                ids.append(np.frombuffer(x.as_py(), "<u4"))
+                size += len(ids[-1])
                 if size >= SHARD_TOKENS:
                     out, sequence = shard(keys, ids, sequence)
                     yield out
@@ -272,4 +324,50 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, wi
         if ids:
             yield shard(keys, ids, sequence)[0]
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    n = docs.count()
+
+    def count_some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(len(x), *_counts(x.astype(np.int64))) for x in _ids(b.column("text"), tokenizer)]
+            yield pa.record_batch({"size": pa.array([s for s, _, _ in found], pa.int64()), "terms": pa.array([t.astype("<i4").tobytes() for _, t, _ in found], pa.binary()), "weights": pa.array([w.tobytes() for _, _, w in found], pa.binary())})
+
+    some = docs.sample(min(1.0, SAMPLE / max(1, n)), 0).mapInArrow(count_some, "size long, terms binary, weights binary").collect()
+    tokens = sum(r["size"] for r in some) * n // max(1, len(some))
+    order = Order([(np.frombuffer(r["terms"], "<i4"), np.frombuffer(r["weights"], "<f4")) for r in some], tokens, SHARD_TOKENS)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for b in batches:
+            at = 0
+            ids, places = [], []
+            for x in _ids(b.column("text"), tokenizer):
+                ids.append(x.tobytes())
+                places.append(order.key(x))
+                if len(ids) == 2000 or at + len(ids) == b.num_rows:
+                    yield pa.record_batch({"doc_id": b.column("doc_id").slice(at, len(ids)), "place": pa.array(places, pa.int64()), "row": pa.array(range(row, row + len(ids)), pa.int64()), "ids": pa.array(ids, pa.binary())})
+                    at, row = at + len(ids), row + len(ids)
+                    ids, places = [], []
+
+    encoded = cut(docs.mapInArrow(keyed, "doc_id long, place long, row long, ids binary"))
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, length = np.zeros(1, np.int64), 0
+        for b in batches:
+            for x in b.column("ids"):
+                x = np.unique(np.frombuffer(x.as_py(), "<u4")), len(x.as_py()) // 4
+                terms, length = x[0], length + x[1]
+                if terms[-1] >= len(df):
+                    df = np.append(df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64))
+                df[terms] += 1
+        at = np.flatnonzero(df)
+        yield pa.record_batch({"term": pa.array(np.append(at, -1)), "n": pa.array(np.append(df[at], length))})
+
+    sums = dict(map(tuple, encoded.select("ids").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n")).collect()))
+    length = sums.pop(-1, 0)
+    df = np.zeros(max(sums, default=0) + 1, np.int64)
+    df[list(sums)] = list(sums.values())
+    of = n, length / max(1, n), df
+    parts = max(1, -(-length // (SHARDS * SHARD_TOKENS)))
+    placed = encoded.repartitionByRange(parts, "place", "doc_id", "row").sortWithinPartitions("place", "doc_id", "row").select("doc_id", "ids")
+    return placed.mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
