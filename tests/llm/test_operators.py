@@ -216,6 +216,21 @@ def test_mixing(spark):
     assert abs(mixing.mix(docs.limit(3), epochs=600.0).count() - 1800) < 300
 
 
+def test_mixing_query_mixes_texts(spark, tmp_path, monkeypatch):
+    from tidemark.llm import common, queries
+
+    rows = [(i, f"text {i}", "en", "rare" if i % 10 == 0 else "big", 6) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    made = []
+    monkeypatch.setattr(queries, "cut", lambda df: made.append(common.cut(df)) or made[-1], raising=False)
+    out = queries.op7_mixing(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "source", "n_chars", "copy", "place"]
+    assert len(made) == 1, "the whole mixed table is made, not its small columns alone"
+    mixed = made[0].collect()
+    assert {"text", "lang"} <= set(made[0].columns) and all(r.text == f"text {r.doc_id}" for r in mixed)
+    assert sorted((r.doc_id, r.copy) for r in mixed) == sorted((r.doc_id, r.copy) for r in out.collect())
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "a <|im_end|> <\\| é"), (1, 1, "assistant", "<|im_start|>assistant ok <\\\\|x"), (1, 2, "a\nb\\|<|", None), (2, 0, None, ""), (None, 3, "assistant", "z" * 5000), (1, 1, "assistant", "again")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, html_text, language_id, licenses, line_dedup, minhash, mixing, packing, topk, vector_dedup
-from .common import table
+from .common import cut, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,8 +111,8 @@ OP6_SQL = _op6_sql()
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return mixing.mix(docs).select("doc_id", "source", "n_chars", "copy", F.round("place", 9).alias("place"))
+    mixed = cut(mixing.mix(table(spark, sf_dir, "documents")))  # whole documents, texts too
+    return mixed.select("doc_id", "source", "n_chars", "copy", F.round("place", 9).alias("place"))
 
 
 OP7_SQL = r"""
