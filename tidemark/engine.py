@@ -16,21 +16,28 @@ from pyspark.sql import types as T
 
 from . import names
 from .errors import EngineError, LockNotAvailable, SerializationFailure
+from .locks import EXCLUSIVE, SHARED, Locks
 from .operators import merge
 from .operators.delta import Delta
-from .plans import analyze, ir
+from .plans import analyze, deparse, ir
 from .sources.storage import FOLD, W, Store, expanded, netted
 
 WRITE = "cannot change materialized view \"%s\""
 STALE = "the materialized view is incrementally updated in concurrent transaction"
 BUSY = "could not obtain lock on materialized view \"%s\" during incremental maintenance"
 NO_KEY = "could not create an index on immv \"%s\" automatically"
+OWNER = "must be owner of %s"
 ISOLATIONS = ("read committed", "repeatable read", "serializable")
 
 
+#: Types whose least and greatest values in a delta bound what is read of other tables.
+RANGED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType, T.StringType)
+
+
 @dataclass
 class ChangeSet:
-    """Rows that a statement adds to a table and takes from it."""
+    """Rows that a statement adds to a table and takes from it. Rows to take that the table does not
+    have are passed over."""
 
     inserted: DataFrame | None = None
     deleted: DataFrame | None = None
@@ -41,12 +48,14 @@ def _schema(json_text: str) -> T.StructType:
 
 
 class ViewEngine:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.store = spark, Store(spark, path)
+    def __init__(self, spark: SparkSession, path: str, user: str = ""):
+        """user: who may change views that have an owner; by default all."""
+        self.spark, self.store, self.user = spark, Store(spark, path), user
         self._scratch = spark  # replaced for each definition
         self.catalog = self.store.load()
         self._lock = threading.RLock()
-        self._locks: dict[str, threading.RLock] = {}
+        self._locks = Locks()
+        self._views: dict[str, ir.View] = {}
         self._local = threading.local()
         self.notices: list[str] = []
 
@@ -60,11 +69,11 @@ class ViewEngine:
         if getattr(self._local, "staged", None) is not None:
             raise EngineError("there is already a transaction in progress")
         self._local.staged, self._local.isolation = copy.deepcopy(self.catalog), isolation
-        self._local.touched, self._local.savepoints, self._local.held = set(), {}, []
+        self._local.touched, self._local.savepoints, self._local.shared = set(), {}, {}
         try:
             yield self
             with self._lock:
-                for name in self._local.touched:
+                for name in self._local.touched - set(self._local.shared):
                     was = self._local.staged["began"].get(name) if "began" in self._local.staged else None
                     now = self._relation(self.catalog, name)
                     if now is not None and was is not None and now["changed"] != was:
@@ -72,8 +81,7 @@ class ViewEngine:
                 self._publish()
         finally:
             self._local.staged = None
-            for lock in self._local.held:
-                lock.release()
+            self._locks.free()
 
     def _relation(self, catalog: dict, name: str) -> dict | None:
         return catalog["tables"].get(name) or catalog["views"].get(name)
@@ -84,7 +92,7 @@ class ViewEngine:
         for kind in ("tables", "views"):
             for name in self._local.touched:
                 if name in staged[kind]:
-                    new[kind][name] = staged[kind][name]
+                    new[kind][name] = self._joined(name, staged[kind][name], new[kind].get(name))
                 else:
                     new[kind].pop(name, None)
         new["version"] = self.catalog["version"] + 1
@@ -116,26 +124,34 @@ class ViewEngine:
             with self.transaction():
                 yield self._local.staged
 
-    def _take(self, name: str) -> None:
+    def _joined(self, name: str, own: dict, now: dict | None) -> dict:
+        """What a relation is with the files that this transaction has added under a shared lock."""
+        if name not in self._local.shared or now is None:
+            return own
+        added = own["files"][self._local.shared[name] :]
+        return now | {"files": [*now["files"], *added], "changed": now["changed"] + 1, "batches": now.get("batches", {}) | own.get("batches", {})}
+
+    def _take(self, name: str, kind: str = EXCLUSIVE) -> None:
         """Locks a relation until the transaction ends; under read committed, what others committed
-        meanwhile is read anew."""
-        staged = self._local.staged
-        if name not in self._local.touched:
-            lock = self._locks.setdefault(name, threading.RLock())
-            if self._local.isolation == "read committed":
-                lock.acquire()
-            elif not lock.acquire(blocking=False):
-                raise LockNotAvailable(BUSY % name)
-            self._local.held.append(lock)
-            now = self._relation(self.catalog, name)
-            if now is not None:
-                own = self._relation(staged, name)
-                if own is not None and own["changed"] != now["changed"]:
-                    if self._local.isolation != "read committed":
-                        raise SerializationFailure(STALE)
-                    staged["tables" if name in staged["tables"] else "views"][name] = copy.deepcopy(now)
-                staged.setdefault("began", {})[name] = now["changed"]
-            self._local.touched.add(name)
+        meanwhile is read anew. Under a shared lock files are only added, so others may add theirs."""
+        staged, shared = self._local.staged, self._local.shared
+        if name in self._local.touched and (kind == SHARED or name not in shared):
+            return
+        if not self._locks.take(name, kind, self._local.isolation == "read committed"):
+            raise LockNotAvailable(BUSY % name)
+        now, own = self._relation(self.catalog, name), self._relation(staged, name)
+        if now is not None:
+            if own is not None and own["changed"] != now["changed"] and (name in shared or name not in self._local.touched):
+                if self._local.isolation != "read committed":
+                    raise SerializationFailure(STALE)
+                fresh = self._joined(name, own, copy.deepcopy(now)) if name in shared else copy.deepcopy(now)
+                staged["tables" if name in staged["tables"] else "views"][name] = fresh
+            staged.setdefault("began", {})[name] = now["changed"]
+        if kind == SHARED:
+            shared[name] = len(now["files"]) if now is not None else 0
+        else:
+            shared.pop(name, None)
+        self._local.touched.add(name)
 
     def _now(self) -> dict:
         staged = getattr(self._local, "staged", None)
@@ -143,16 +159,31 @@ class ViewEngine:
 
     # -- tables
 
-    def create_table(self, name: str, rows: DataFrame, primary_key: list[str] | None = None, row_filter: dict[str, str] | None = None) -> int:
-        """A table of the rows' schema, holding them. row_filter: SQL condition by owner."""
+    def create_table(self, name: str, rows: DataFrame, primary_key: list[str] | None = None, row_filter: dict[str, str] | None = None, cluster_by: list[str] | None = None) -> int:
+        """A table of the rows' schema, holding them. row_filter: SQL condition by owner. Files are in an
+        order of cluster_by, by default of the primary key."""
         with self._statement() as catalog:
             if self._relation(catalog, name):
                 raise EngineError(f'relation "{name}" already exists')
             self._take(name)
-            df = rows.withColumn(W, F.lit(1).cast("long"))
-            file = self.store.write(df)
-            catalog["tables"][name] = {"schema": rows.schema.json(), "key": primary_key or [], "files": [file], "changed": 1, "filter": row_filter or {}}
-        return self.read(name).count()
+            order = cluster_by or primary_key or []
+            file, seen = self.store.observed(rows.withColumn(W, F.lit(1).cast("long")), [F.count(F.lit(1)).alias("n")], order)
+            catalog["tables"][name] = {"schema": rows.schema.json(), "key": primary_key or [], "order": order, "files": [file], "changed": 1, "filter": row_filter or {}}
+        return seen.get("n", 0)
+
+    def set_row_filter(self, table: str, owner: str, condition: str | None) -> None:
+        """Which rows an owner's views see from now on, None for all; these views are filled anew."""
+        with self._statement() as catalog:
+            self._guard(table)
+            self._take(table)
+            t = catalog["tables"][table]
+            self._state(table, catalog).where(condition or "true")  # a condition that can't be resolved fails here
+            t["filter"] = {o: c for o, c in t["filter"].items() if o != owner} | ({owner: condition} if condition else {})
+            t["changed"] += 1
+            for name, v in catalog["views"].items():
+                if table in v["tables"].values() and v["owner"] == owner and v["maintained"]:
+                    self._take(name)
+                    self._fill(name, catalog)
 
     def table_schema(self, name: str) -> T.StructType:
         return _schema(self._now()["tables"][name]["schema"])
@@ -181,7 +212,7 @@ class ViewEngine:
                 raise EngineError(f'column "{new}" of relation "{table}" already exists')
             fields = [T.StructField(new if f.name == old else f.name, f.dataType, f.nullable) for f in schema.fields]
             # files keep the name that they were written with
-            t |= {"stored": t.get("stored", schema.names), "schema": T.StructType(fields).json(), "key": [new if k == old else k for k in t["key"]], "changed": t["changed"] + 1}
+            t |= {"stored": t.get("stored", schema.names), "schema": T.StructType(fields).json(), "key": [new if k == old else k for k in t["key"]], "order": [new if k == old else k for k in t["order"]], "changed": t["changed"] + 1}
             for name, v in catalog["views"].items():
                 if table in v["tables"].values():
                     self._take(name)
@@ -208,15 +239,24 @@ class ViewEngine:
         self.apply({table: ChangeSet(inserted=rows)})
 
     def delete(self, table: str, where: str | Column | None = None) -> None:
-        self._guard(table)
-        rows = self.read(table)
-        self.apply({table: ChangeSet(deleted=rows if where is None else rows.where(where))})
+        with self._statement() as catalog:
+            self._guard(table)
+            self._take(table)
+            rows = self._state(table, catalog)
+            rows = rows if where is None else rows.where(where)
+            self._apply({table: [rows.withColumn(W, -F.col(W))]})
 
     def update(self, table: str, values: dict[str, str | Column], where: str | Column | None = None) -> None:
-        self._guard(table)
-        old = self.read(table) if where is None else self.read(table).where(where)
-        new = old.select(*[(F.expr(values[c]) if isinstance(values[c], str) else values[c]).cast(old.schema[c].dataType).alias(c) if c in values else F.col(f"`{c}`") for c in old.columns])
-        self.apply({table: ChangeSet(inserted=new, deleted=old)})
+        with self._statement() as catalog:
+            self._guard(table)
+            self._take(table)
+            rows = self._state(table, catalog)
+            old = rows if where is None else rows.where(where)
+            schema = self.table_schema(table)
+            if missing := set(values) - set(schema.names):
+                raise EngineError(f'column "{min(missing)}" of relation "{table}" does not exist')
+            new = old.select(*[(F.expr(values[c]) if isinstance(values[c], str) else values[c]).cast(schema[c].dataType).alias(c) if c in values else F.col(f"`{c}`") for c in schema.names], W)
+            self._apply({table: [new, old.withColumn(W, -F.col(W))]})
 
     def _guard(self, name: str) -> None:
         if name in self._now()["views"]:
@@ -229,33 +269,78 @@ class ViewEngine:
         with self._statement() as catalog:
             for name in sorted(changes):
                 self._guard(name)
-                self._take(name)
-            on = sorted({v for v, d in catalog["views"].items() if set(d["tables"].values()) & set(changes) and d["maintained"]})
-            for v in on:
-                self._take(v)
-            before = copy.deepcopy(catalog["tables"])
-            deltas: dict[str, DataFrame] = {}
+            parts: dict[str, list[DataFrame]] = {}
             for name, c in changes.items():
-                schema = self.table_schema(name)
-                part = [x.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields], F.lit(w).cast("long").alias(W)) for x, w in ((c.inserted, 1), (c.deleted, -1)) if x is not None]
-                if not part:
-                    continue
-                both = part[0] if len(part) == 1 else part[0].unionByName(part[1])
-                t = catalog["tables"][name]
-                file = self.store.write(netted(both, schema.names).toDF(*t.get("stored", schema.names), W))
-                deltas[name] = self._rows(name, catalog, [file])
-                t["files"], t["changed"] = [*t["files"], file], t["changed"] + 1
-                if c.deleted is not None and not deltas[name].where(F.col(W) < 0).isEmpty():
-                    t["signed"] = True
-            for v in on:
-                self._maintain(v, catalog, before, deltas)
-            for name in changes:
-                t = catalog["tables"][name]
-                if len(t["files"]) > FOLD:
-                    at, cols = self.store.tail(t["files"]), self.table_schema(name).names
-                    folded = netted(self._rows(name, catalog, t["files"][at:]), cols).toDF(*t.get("stored", cols), W)
-                    t["files"] = [*t["files"][:at], self.store.write(folded)]
-                    t["signed"] = bool(at and t.get("signed"))
+                if c.deleted is not None:
+                    self._take(name)
+                fields = self.table_schema(name).fields
+                parts[name] = [x.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields], F.lit(w).cast("long").alias(W)) for x, w in ((c.inserted, 1), (c.deleted, -1)) if x is not None]
+            self._apply({n: p for n, p in parts.items() if p}, {n for n, c in changes.items() if c.deleted is not None})
+
+    def _apply(self, changes: dict[str, list[DataFrame]], unsure: set[str] = frozenset()) -> None:
+        """changes: by table, parts with weights. unsure: tables of which rows may be taken that aren't there."""
+        catalog = self._local.staged
+        on = sorted({v for v, d in catalog["views"].items() if set(d["tables"].values()) & set(changes) and d["maintained"]})
+        adds = not unsure and all(n not in self._local.touched or n in self._local.shared for n in changes)
+        kind = SHARED if adds and len(changes) == 1 and all(self._view(v, catalog).alone() for v in on) else EXCLUSIVE
+        for name in [*sorted(changes), *on]:
+            self._take(name, kind)
+        before = copy.deepcopy(catalog["tables"])
+        deltas: dict[str, DataFrame] = {}
+        ranges: dict[str, dict] = {}
+        for name, parts in changes.items():
+            t, schema = catalog["tables"][name], self.table_schema(name)
+            rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+            if len(parts) > 1 or name in unsure:
+                rows = netted(rows, schema.names)
+            file, seen = self._written(name, rows, catalog)
+            if name in unsure and seen["taken"]:
+                first = file
+                file, seen = self._written(name, self._there(name, self._rows(name, catalog, [first]), catalog), catalog)
+                self.store.drop([first])
+            if not seen["n"]:
+                self.store.drop([file])
+                continue
+            deltas[name] = self._rows(name, catalog, [file])
+            ranges[name] = {f.name: (seen[f"lo{i}"], seen[f"hi{i}"]) for i, f in enumerate(schema.fields) if seen.get(f"lo{i}") is not None}
+            t["files"], t["changed"] = [*t["files"], file], t["changed"] + 1
+            t["signed"] = t.get("signed", False) or seen["taken"] > 0
+        for v in on:
+            if set(catalog["views"][v]["tables"].values()) & set(deltas):
+                self._maintain(v, catalog, before, deltas, ranges)
+        for name in deltas if kind == EXCLUSIVE else ():
+            t = catalog["tables"][name]
+            if len(t["files"]) > FOLD:
+                at, cols = self.store.tail(t["files"]), self.table_schema(name).names
+                rows = self._rows(name, catalog, t["files"][at:])
+                if t.get("signed"):
+                    rows = netted(rows, cols)
+                stored = t.get("stored", cols)
+                folded = self.store.write(rows.toDF(*stored, W), [stored[cols.index(k)] for k in t["order"]])
+                t["files"] = [*t["files"][:at], folded]
+                t["signed"] = bool(at and t.get("signed"))
+
+    def _written(self, name: str, rows: DataFrame, catalog: dict) -> tuple[str, dict]:
+        """A new file of a table's change, with its numbers of rows and ranges."""
+        schema, t = self.table_schema(name), catalog["tables"][name]
+        seen = [F.count(F.lit(1)).alias("n"), F.count_if(F.col(W) < 0).alias("taken")]
+        stored = t.get("stored", schema.names)
+        for i, f in enumerate(schema.fields):
+            if isinstance(f.dataType, RANGED):
+                seen += [F.min(f"`{stored[i]}`").alias(f"lo{i}"), F.max(f"`{stored[i]}`").alias(f"hi{i}")]
+        file, found = self.store.observed(rows.select(*[F.col(f"`{c}`") for c in schema.names], W).toDF(*stored, W), seen)
+        return file, {"n": 0, "taken": 0} | found
+
+    def _there(self, name: str, change: DataFrame, catalog: dict) -> DataFrame:
+        """A netted change without the copies of rows to take that the table does not have."""
+        cols = self.table_schema(name).names
+        gone = change.where(F.col(W) < 0).toDF(*[f"g{i}" for i in range(len(cols))], "__g")
+        same = F.lit(True)
+        for i, c in enumerate(cols):
+            same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"g{i}"))
+        held = netted(self._rows(name, catalog).join(gone.drop("__g"), same, "left_semi"), cols)
+        taken = held.join(gone, same).select(*[F.col(f"`{c}`") for c in cols], (-F.least(F.col(W), -F.col("__g"))).alias(W))
+        return change.where(F.col(W) > 0).unionByName(taken.where(F.col(W) < 0))
 
     def truncate(self, table: str) -> None:
         self._guard(table)
@@ -270,7 +355,7 @@ class ViewEngine:
                     if view.kind == "aggregate" and not view.keys or view.outer():
                         self._fill(name, catalog)
                     else:
-                        v |= {"files": [], "changed": v["changed"] + 1}
+                        v |= {"files": [], "signed": False, "changed": v["changed"] + 1}
 
     def begin_batch(self, table: str, source: str, number: int) -> bool:
         """Notes in the transaction that a source's batch goes into table; False if it is there already."""
@@ -332,19 +417,25 @@ class ViewEngine:
     def _view(self, name: str, catalog: dict) -> ir.View:
         """The view's plan, analyzed anew over its tables as they are."""
         v = catalog["views"][name]
-        frames = {}
+        schemas = self._called(v, catalog)
+        of = json.dumps([v["sql"], v["names"], {c: s.json() for c, s in schemas.items()}])
+        if of not in self._views:
+            self._views[of] = self._analyzed(v["sql"], schemas, set(), v["names"])
+        return self._views[of]
+
+    def _called(self, v: dict, catalog: dict) -> dict[str, T.StructType]:
+        """Schemas of a view's tables, by the names that its definition uses."""
+        out = {}
         for called, real in v["tables"].items():
-            df = self.spark.createDataFrame([], _schema(catalog["tables"][real]["schema"]))
-            for a, b in v["columns"].get(real, {}).items():
-                df = df.withColumnRenamed(b, a)
-            frames[called] = df
-        return self._analyzed(v["sql"], frames, set(), v["names"])
+            names_ = {b: a for a, b in v["columns"].get(real, {}).items()}
+            out[called] = T.StructType([T.StructField(names_.get(f.name, f.name), f.dataType, f.nullable) for f in _schema(catalog["tables"][real]["schema"]).fields])
+        return out
 
-    def _analyzed(self, sql: str, frames: dict[str, DataFrame], views: set[str], listed: list[str]) -> ir.View:
+    def _analyzed(self, sql: str, schemas: dict[str, T.StructType], views: set[str], listed: list[str]) -> ir.View:
         with self._lock:
             # a session of its own for the tables' names, with the functions that are registered by now
             self._scratch = SparkSession(self.spark.sparkContext, self.spark._jsparkSession.cloneSession())
-            frames = {called: self._scratch.createDataFrame([], df.schema) for called, df in frames.items()}
+            frames = {called: self._scratch.createDataFrame([], schema) for called, schema in schemas.items()}
             for called, df in frames.items():
                 df.createOrReplaceTempView(called)
             view = analyze.Definition(self._scratch, sql, views, frames).analyze()
@@ -371,18 +462,20 @@ class ViewEngine:
             if self._local.isolation != "read committed":
                 warnings.warn("inconsistent view can be created in isolation level SERIALIZABLE or REPEATABLE READ", stacklevel=3)
             self._register(plain, listed, sql, owner, catalog)
-            if with_data:
-                self._fill(plain, catalog)
             self._note_keys(plain, catalog)
-        return self.read(plain).count()
+            if with_data:
+                return self._fill(plain, catalog)
+        return 0
 
     def _register(self, plain: str, listed: list[str], sql: str, owner: str, catalog: dict) -> ir.View:
         if self._relation(catalog, plain):
             raise EngineError(f'relation "{plain}" already exists')
-        frames = {t: self.spark.createDataFrame([], _schema(d["schema"])) for t, d in catalog["tables"].items()}
-        view = self._analyzed(sql, frames, set(catalog["views"]), listed)
+        schemas = {t: _schema(d["schema"]) for t, d in catalog["tables"].items()}
+        view = self._analyzed(sql, schemas, set(catalog["views"]), listed)
         self._take(plain)
-        catalog["views"][plain] = {"sql": sql, "names": listed, "owner": owner, "tables": {t: t for t in view.tables()}, "columns": {}, "files": [], "schema": None, "maintained": True, "populated": False, "changed": 1, "keys": []}
+        v = catalog["views"][plain] = {"sql": sql, "names": listed, "owner": owner, "tables": {t: t for t in view.tables()}, "columns": {}, "files": [], "maintained": False, "populated": False, "signed": False, "changed": 1, "keys": []}
+        empty = lambda called, when: self.spark.createDataFrame([], T.StructType([*schemas[called].fields, T.StructField(W, T.LongType())]))
+        v["schema"] = merge.stored(self._view(plain, catalog), Delta(empty).post(self._view(plain, catalog).body)).schema.json()
         return view
 
     def _note_keys(self, name: str, catalog: dict) -> None:
@@ -407,62 +500,84 @@ class ViewEngine:
         else:
             self.notices.append(NO_KEY % name.split(".")[-1])
 
-    def _fill(self, name: str, catalog: dict) -> None:
+    def _fill(self, name: str, catalog: dict) -> int:
+        """Writes a view from its tables as they are; its number of rows."""
         v, view = catalog["views"][name], self._view(name, catalog)
         tables = self._tables(name, catalog, catalog["tables"], {})
-        stored = merge.partial(view, Delta(tables).post(view.body))
-        stored = stored.drop(*[c for c in stored.columns if c.startswith("__gone_")])
-        v |= {"files": [self.store.write(stored)], "schema": stored.schema.json(), "maintained": True, "populated": True, "changed": v["changed"] + 1}
+        rows = merge.stored(view, Delta(tables).post(view.body))
+        n = F.sum(W) if view.kind == "bag" else F.count(F.lit(1))
+        file, seen = self.store.observed(self._shaped(rows, v), [n.alias("n")], v["keys"])
+        v |= {"files": [file], "signed": False, "maintained": True, "populated": True, "changed": v["changed"] + 1}
+        return seen.get("n") or 0
 
-    def _maintain(self, name: str, catalog: dict, before: dict, deltas: dict[str, DataFrame]) -> None:
+    def _shaped(self, rows: DataFrame, v: dict) -> DataFrame:
+        return rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in _schema(v["schema"]).fields])
+
+    def _maintain(self, name: str, catalog: dict, before: dict, deltas: dict[str, DataFrame], ranges: dict[str, dict]) -> None:
         v, view = catalog["views"][name], self._view(name, catalog)
         # rows that were taken away may be read beside what took them where no expression fails on them
         signed = lambda called: view.total and catalog["tables"][v["tables"][called]].get("signed", False)
-        delta = Delta(self._tables(name, catalog, before, deltas, view.total), signed)
+
+        def known(called: str) -> dict:
+            real = v["tables"][called]
+            names_ = {b: a for a, b in v["columns"].get(real, {}).items()}
+            return {names_.get(c, c): r for c, r in ranges.get(real, {}).items()}
+
+        delta = Delta(self._tables(name, catalog, before, deltas, view.total), signed, known)
         change = delta.delta(view.body)
         if change is None:
             return
-        if merge.extremes(view):  # what cancels out is neither a new nor a lost extreme
-            change = netted(change, [c for c in change.columns if c != W])
-        schema = _schema(v["schema"])
-        stored = self.store.read(v["files"], schema)
-        part = merge.partial(view, change)
+        at, schema = v["changed"] + 1, _schema(v["schema"])
+        seen = [F.count(F.lit(1)).alias("n")]
         if merge.extremes(view):
-            state = merge.summed(view, stored)
-            files = [self.store.write(merge.merged(view, state, part, delta))]
+            # what cancels out is neither a new nor a lost extreme
+            part = merge.partial(view, netted(change, [c for c in change.columns if c != W])).persist()
+            fresh = merge.touched(view, self.store.read(v["files"], schema), part, at)
+            file, found = self.store.observed(fresh, [*seen, F.count_if(merge.STALE).alias("stale")])
+            part.unpersist()
+            if found.get("stale"):
+                first = file
+                file = self.store.write(self._shaped(merge.again(view, self.store.read([first], fresh.schema), delta, at), v))
+                self.store.drop([first])
         else:
-            part = part.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
-            files = [*v["files"], self.store.write(part)]
-            if len(files) > FOLD:
-                at = self.store.tail(files)
-                files = [*files[:at], self.store.write(merge.summed(view, self.store.read(files[at:], schema), not at))]
-        v |= {"files": files, "changed": v["changed"] + 1}
+            part = self._shaped(merge.partial(view, change), v)
+            taken = [F.count_if(F.col(W) < 0).alias("taken")] if view.kind != "aggregate" else []
+            file, found = self.store.observed(part, [*seen, *taken])
+            v["signed"] = v["signed"] or bool(found.get("taken"))
+        if not found.get("n"):
+            self.store.drop([file])
+            return
+        v |= {"files": [*v["files"], file], "changed": at}
+        if len(v["files"]) > FOLD and name not in self._local.shared:
+            first = self.store.tail(v["files"])
+            rows = merge.summed(view, self.store.read(v["files"][first:], schema), not first)
+            v["files"] = [*v["files"][:first], self.store.write(self._shaped(rows, v), v["keys"])]
+            v["signed"] = bool(first and v["signed"])
 
     def refresh_view(self, name: str, with_data: bool = True) -> int:
         with self._statement() as catalog:
-            v = self._own(name, catalog)
+            self._own(name, catalog)
             self._take(name)
             v = catalog["views"][name]
             if with_data:
-                self._fill(name, catalog)
-            else:
-                v |= {"files": [], "maintained": False, "populated": False, "changed": v["changed"] + 1}
-                if v["schema"] is None:
-                    self._fill(name, catalog)
-                    v |= {"files": [], "maintained": False, "populated": False}
-        return self.read(name).count() if with_data else 0
-
-    def restore_view(self, name: str, sql: str, rows: DataFrame | None = None, populate: bool = False) -> None:
-        """Registers a view over stored rows (all columns, hidden ones too), checked against the definition."""
+                self._views.clear()  # functions may have been registered anew
+                return self._fill(name, catalog)
+            v |= {"files": [], "signed": False, "maintained": False, "populated": False, "changed": v["changed"] + 1}
+        return 0
+
+    def restore_view(self, name: str, sql: str, rows: DataFrame | None = None, populate: bool = False, owner: str = "") -> None:
+        """Registers a view over stored rows (all columns, hidden ones too), checked against the
+        definition and taken as they are; without rows, or to populate it, its query is run."""
         plain, listed = names.parse(name)
         with self._statement() as catalog:
             if plain in catalog["views"]:
                 raise EngineError(f'relation "{plain}" is already registered as an IMMV')
-            self._register(plain, listed, sql, "", catalog)
-            self._fill(plain, catalog)
+            view = self._register(plain, listed, sql, owner, catalog)
+            self._note_keys(plain, catalog)
             v = catalog["views"][plain]
-            if rows is not None and not populate:
-                want = self.read(plain, hidden=True).schema
+            if rows is not None:
+                stored = self.store.read([], _schema(v["schema"]))
+                want = merge.read(view, stored, True).drop(W).schema
                 for f in want.fields:
                     if f.name not in rows.columns:
                         raise EngineError(f'table is missing column "{f.name}"')
@@ -470,10 +585,11 @@ class ViewEngine:
                         raise EngineError("table definition mismatch with view definition")
                 if len(rows.columns) > len(want.fields):
                     raise EngineError("too many columns in table")
-                view, schema = self._view(plain, catalog), _schema(v["schema"])
-                rows = rows.withColumn(W, F.col(merge.COUNT) if view.kind == "distinct" else F.lit(1).cast("long"))
-                v["files"] = [self.store.write(rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields]))]
-            self._note_keys(plain, catalog)
+            if rows is None or populate:
+                self._fill(plain, catalog)
+                return
+            rows = rows.withColumn(W, F.col(merge.COUNT) if view.kind == "distinct" else F.lit(1).cast("long")).withColumn(merge.AT, F.lit(0).cast("long"))
+            v |= {"files": [self.store.write(self._shaped(rows, v), v["keys"])], "maintained": True, "populated": True}
 
     def drop_view(self, name: str) -> None:
         with self._statement() as catalog:
@@ -494,17 +610,28 @@ class ViewEngine:
             raise EngineError(f'relation "{name}" is not an IMMV')
         if name not in catalog["views"]:
             raise EngineError(f'relation "{name}" does not exist')
-        return catalog["views"][name]
+        v = catalog["views"][name]
+        if v["owner"] and self.user not in ("", v["owner"]):
+            raise EngineError(OWNER % name)
+        return v
 
     # -- reading
 
     def read(self, name: str, hidden: bool = False) -> DataFrame:
+        """A relation's rows. A view whose files are a state already is read without a shuffle, and a
+        condition on its keys skips files' row groups."""
         catalog = self._now()
         if name in catalog["tables"]:
-            schema = self.table_schema(name)
-            return expanded(self._state(name, catalog), schema.names)
-        v, view = self._own(name, catalog), self._view(name, catalog)
-        out = merge.read(view, self.store.read(v["files"], _schema(v["schema"])))
+            return expanded(self._state(name, catalog), self.table_schema(name).names)
+        if name not in catalog["views"]:
+            raise EngineError(f'relation "{name}" does not exist')
+        v, view = catalog["views"][name], self._view(name, catalog)
+        settled = len(v["files"]) <= 1 if view.kind == "aggregate" else not v["signed"] if view.kind == "bag" else len(v["files"]) <= 1 and not v["signed"]
+        if view.kind == "aggregate" and not view.keys and not v["files"]:
+            settled = False  # the one row of nothing
+        out = merge.read(view, self.store.read(v["files"], _schema(v["schema"])), settled)
+        if merge.extremes(view) and settled and view.keys:
+            out = out.where(F.col(merge.COUNT) > 0)
         if not v["populated"]:
             out = out.limit(0)
         if view.kind == "bag":
@@ -512,8 +639,14 @@ class ViewEngine:
         return out if hidden else out.select(*[F.col(f"`{c}`") for c in view.visible])
 
     def view_definition(self, name: str) -> str | None:
-        v = self._now()["views"].get(name)
-        return v and v["sql"]
+        """The definition with the names that tables, columns and outputs have now; None if there is no such view."""
+        catalog = self._now()
+        v = catalog["views"].get(name)
+        return v and self._text(v, catalog, self._view(name, catalog).visible if v["names"] else [])
+
+    def _text(self, v: dict, catalog: dict, outputs: list[str]) -> str:
+        known = {called: s.names for called, s in self._called(v, catalog).items()}
+        return deparse.current(self.spark, v["sql"], v["tables"], v["columns"], known, outputs)
 
     def is_view(self, name: str) -> bool:
         return name in self._now()["views"]
@@ -524,9 +657,10 @@ class ViewEngine:
 
     def _command(self, function: str) -> Iterator[str]:
         quote = lambda s: "'" + s.replace("'", "''") + "'"
-        for n, v in sorted(self._now()["views"].items()):
-            full = n + (f"({', '.join(v['names'])})" if v["names"] else "")
-            yield f"SELECT {function}({quote(full)}, {quote(v['sql'])});"
+        catalog = self._now()
+        for n, v in sorted(catalog["views"].items()):
+            full = ".".join(names.quoted(x) for x in n.split(".")) + (f"({', '.join(map(names.quoted, v['names']))})" if v["names"] else "")
+            yield f"SELECT {function}({quote(full)}, {quote(self._text(v, catalog, []))});"
 
     def create_commands(self) -> list[str]:
         return list(self._command("create_immv"))
@@ -534,6 +668,20 @@ class ViewEngine:
     def restore_commands(self) -> list[str]:
         return list(self._command("restore_immv"))
 
+    def run(self, command: str) -> int | str | None:
+        """Carries out a command as create_commands() and restore_commands() print them, or one of
+        refresh_immv and get_immv_def."""
+        function, args = names.call(command)
+        if function == "create_immv" and len(args) == 2:
+            return self.create_view(*args)
+        if function == "restore_immv" and len(args) in (2, 3):
+            return self.restore_view(args[0], args[1], populate=len(args) == 3 and args[2])
+        if function == "refresh_immv" and len(args) in (1, 2):
+            return self.refresh_view(names.parse(args[0])[0], *args[1:])
+        if function == "get_immv_def" and len(args) == 1:
+            return self.view_definition(names.parse(args[0])[0])
+        raise EngineError(f"no function {function} of {len(args)} arguments")
+
 
 def _plain(view: ir.View) -> dict[str, str]:
     """Body columns, through projections, that visible columns show as they are."""
@@ -541,9 +689,8 @@ def _plain(view: ir.View) -> dict[str, str]:
     node = view.body
     while isinstance(node, (ir.Project, ir.Filter, ir.Exists)):
         if isinstance(node, ir.Project):
-            for c, e in zip(node.cols, node.exprs):
-                source = e._jc.toString()
-                if source.startswith("c") and source[1:].isdigit() and c in out:
-                    out[source] = out[c]
+            for c, e in zip(node.cols, node.plain):
+                if e is not None and c in out:
+                    out[e] = out[c]
         node = node.child
     return out

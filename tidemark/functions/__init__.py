@@ -11,7 +11,7 @@ MUTABLE = frozenset(
 #: Aggregates that deltas maintain, by Catalyst's class.
 AGGREGATES = {"Count": "count", "Sum": "sum", "Average": "avg", "Min": "min", "Max": "max"}
 #: Expressions that turn null inputs into something else.
-NON_STRICT = frozenset("Coalesce If CaseWhen IsNull IsNotNull EqualNullSafe Or And Not NaNvl Nvl Nvl2 NullIf In InSet Least Greatest ConcatWs AtLeastNNonNulls CreateArray CreateNamedStruct CreateMap".split())
+NON_STRICT = frozenset("Coalesce If CaseWhen IsNull IsNotNull EqualNullSafe Or And Not NaNvl Nvl Nvl2 NullIf In InSet Least Greatest ConcatWs AtLeastNNonNulls CreateArray CreateNamedStruct CreateMap PythonUDF ScalaUDF HiveSimpleUDF HiveGenericUDF Murmur3Hash XxHash64 HiveHash ToJson StructsToJson TryEval RaiseError AssertTrue".split())
 
 
 def is_orderable(t: T.DataType) -> bool:

@@ -43,3 +43,27 @@ def parse(text: str) -> tuple[str, list[str]]:
     if at < len(tokens):
         raise EngineError("invalid name syntax")
     return ".".join(full), columns
+
+
+def quoted(x: str) -> str:
+    """x as parse() reads it back."""
+    return x if re.fullmatch(r"[a-z_][a-z0-9_$]*", x) else '"' + x.replace('"', '""') + '"'
+
+
+CALL = re.compile(r"\s*select\s+(?:\w+\.)?(\w+)\s*\((.*)\)\s*;?\s*", re.I | re.S)
+ARGUMENT = re.compile(r"\s*(?:'((?:[^']|'')*)'|(true|false))\s*(,|$)", re.I)
+
+
+def call(command: str) -> tuple[str, list]:
+    """The function and arguments (strings, true, false) of `SELECT f('a', true);`."""
+    m = CALL.fullmatch(command)
+    if not m:
+        raise EngineError("no command")
+    args, at, text = [], 0, m[2]
+    while at < len(text):
+        a = ARGUMENT.match(text, at)
+        if not a:
+            raise EngineError("no command")
+        args.append(a[2].lower() == "true" if a[2] else a[1].replace("''", "'"))
+        at = a.end()
+    return m[1].lower(), args

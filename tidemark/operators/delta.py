@@ -2,7 +2,9 @@
 
 Deltas are bags with signed weights. A node below which nothing changed has no delta (None), so its
 side of a join is never joined with nothing. Spark plans every product, and may broadcast deltas
-where their size allows.
+where their size allows. The least and greatest values of a delta's columns, known from the job that
+wrote it, bound what is read of the other side of an equality, so that row groups of files in an
+order of keys are skipped.
 
 States may be signed bags too, with rows and what took them away side by side: products and sums take
 them as they are, and what asks whether a row is there nets them first.
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +24,8 @@ from ..sources.storage import W, netted
 
 #: From a table's name and "pre", "post" or "delta" to rows with weights; a delta may be None.
 Tables = Callable[[str, str], DataFrame | None]
+#: From a table's name to the least and greatest value in its delta of some of its columns.
+Ranges = Callable[[str], dict[str, tuple[Any, Any]]]
 
 
 def _union(parts: list[DataFrame | None]) -> DataFrame | None:
@@ -29,8 +34,8 @@ def _union(parts: list[DataFrame | None]) -> DataFrame | None:
 
 
 class Delta:
-    def __init__(self, tables: Tables, signed: Callable[[str], bool] = lambda table: False):
-        self.tables, self.signed = tables, signed
+    def __init__(self, tables: Tables, signed: Callable[[str], bool] = lambda table: False, ranges: Ranges = lambda table: {}):
+        self.tables, self.signed, self.ranges = tables, signed, ranges
 
     def nets(self, n: ir.Node, df: DataFrame) -> DataFrame:
         """df, a state of n or part of it, netted if it may be signed."""
@@ -57,6 +62,8 @@ class Delta:
             return self._state(n.child, when).where(n.condition)
         if isinstance(n, ir.Project):
             return self._project(n, self._state(n.child, when))
+        if isinstance(n, ir.Generate):
+            return self._generate(n, self._state(n.child, when))
         if isinstance(n, ir.Exists):
             return self._counted(netted(self._state(n.child, when), n.child.cols), self._state(n.inner, when), n)
         left, right = self._state(n.left, when), self._state(n.right, when)
@@ -70,6 +77,9 @@ class Delta:
         counts = [c for c in df.columns if c.startswith("__ivm_exists_count_")]
         return df.select(*[e.alias(c) for e, c in zip(n.exprs, n.cols)], *counts, W)
 
+    def _generate(self, n: ir.Generate, df: DataFrame) -> DataFrame:
+        return df.select(*n.child.cols, n.function.alias(*n.names), W)
+
     def _product(self, left: DataFrame, right: DataFrame, n: ir.Join) -> DataFrame:
         left, right = left.withColumnRenamed(W, "__l"), right.withColumnRenamed(W, "__r")
         joined = left.crossJoin(right) if n.condition is None else left.join(right, n.condition)
@@ -80,6 +90,26 @@ class Delta:
         matched = rows.join(inner.withColumnRenamed(W, "__r"), n.condition)
         return matched.groupBy(*n.child.cols, W).agg(F.sum("__r").alias(n.count)).where(F.col(n.count) > 0).select(*n.cols, W)
 
+    def bounds(self, n: ir.Node) -> dict[str, tuple[Any, Any]]:
+        """What columns of n's delta range over, of those for which it is known."""
+        if isinstance(n, ir.Scan):
+            known = self.ranges(n.table)
+            return {c: known[s] for s, c in zip(n.source, n.cols) if s in known}
+        if isinstance(n, (ir.Filter, ir.Generate)):
+            return self.bounds(n.child)
+        if isinstance(n, ir.Project):
+            below = self.bounds(n.child)
+            return {c: below[p] for c, p in zip(n.cols, n.plain) if p in below}
+        return {}
+
+    def _near(self, df: DataFrame, by: ir.Node, pairs: list[tuple[str, str]]) -> DataFrame:
+        """Rows of df whose columns are in the range of by's delta; pairs: columns of by, of df."""
+        known = self.bounds(by)
+        for own, other in pairs:
+            if own in known:
+                df = df.where(F.col(other).between(F.lit(known[own][0]), F.lit(known[own][1])))
+        return df
+
     def delta(self, n: ir.Node) -> DataFrame | None:
         if isinstance(n, ir.Scan):
             return self._scan(n, "delta")
@@ -91,33 +121,40 @@ class Delta:
         if isinstance(n, ir.Project):
             d = self.delta(n.child)
             return None if d is None else self._project(n, d)
+        if isinstance(n, ir.Generate):
+            d = self.delta(n.child)
+            return None if d is None else self._generate(n, d)
         if isinstance(n, ir.Exists):
             return self._exists(n)
         left, right = self.delta(n.left), self.delta(n.right)
+        back = [(r, x) for x, r in n.equal]
         if n.kind == "inner":
             return _union([
-                None if left is None else self._product(left, self.pre(n.right), n),
-                None if right is None else self._product(self.post(n.left), right, n),
+                None if left is None else self._product(left, self._near(self.pre(n.right), n.left, n.equal), n),
+                None if right is None else self._product(self._near(self.post(n.left), n.right, back), right, n),
             ])
         return _union([
-            None if left is None else self._outer(n, left, self.pre(n.right), n.left, n.right, n.keys[0], n.keys[1], n.kind in ("left", "full"), n.kind in ("right", "full"), self.pre(n.left)),
-            None if right is None else self._outer(n, right, self.post(n.left), n.right, n.left, n.keys[1], n.keys[0], n.kind in ("right", "full"), n.kind in ("left", "full"), self.pre(n.right)),
+            None if left is None else self._outer(n, left, self._near(self.pre(n.right), n.left, n.equal), n.left, n.right, n.keys[0], n.keys[1], n.kind in ("left", "full"), n.kind in ("right", "full")),
+            None if right is None else self._outer(n, right, self._near(self.post(n.left), n.right, back), n.right, n.left, n.keys[1], n.keys[0], n.kind in ("right", "full"), n.kind in ("left", "full")),
         ])
 
-    def _outer(self, n: ir.Join, d: DataFrame, other: DataFrame, own_node: ir.Node, other_node: ir.Node, own: str, key: str, keeps: bool, other_keeps: bool, before: DataFrame) -> DataFrame | None:
+    def _outer(self, n: ir.Join, d: DataFrame, other: DataFrame, own_node: ir.Node, other_node: ir.Node, own: str, key: str, keeps: bool, other_keeps: bool) -> DataFrame | None:
         """Change of an outer join when one side changes by d. keeps: rows of d's side without a match
-        stay, null-extended; other_keeps: those of the other side do."""
+        stay, null-extended; other_keeps: those of the other side do. Of either state, only rows of d's
+        keys are grouped."""
         types = {**dict(d.dtypes), **dict(other.dtypes)}
         nulls = lambda cols: [F.lit(None).cast(types[c]).alias(c) for c in cols]
+        touched = d.where(F.col(own).isNotNull()).groupBy(F.col(own).alias("__k")).agg(F.sum(W).alias("__d"))
+        keys = touched.select("__k")
         matched = d.withColumnRenamed(W, "__l").join(other.withColumnRenamed(W, "__r"), n.condition)
         parts = [matched.select(*n.cols, (F.col("__l") * F.col("__r")).alias(W))]
         if keeps:
-            there = other.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.sum(W).alias("__n")).where("__n > 0").select("__k")
+            there = other.join(keys, F.col(key) == F.col("__k"), "left_semi").groupBy(F.col(key).alias("__k")).agg(F.sum(W).alias("__n")).where("__n > 0").select("__k")
             alone = d.join(there, F.col(own) == F.col("__k"), "left_anti")
             parts.append(alone.select(*own_node.cols, *nulls(other_node.cols), W).select(*n.cols, W))
         if other_keeps:
-            touched = d.where(F.col(own).isNotNull()).groupBy(F.col(own).alias("__k")).agg(F.sum(W).alias("__d"))
-            was = before.join(touched.select("__k"), F.col(own) == F.col("__k"), "left_semi").groupBy(F.col(own).alias("__b")).agg(F.sum(W).alias("__n"))
+            before = self._near(self.pre(own_node), own_node, [(own, own)])
+            was = before.join(keys, F.col(own) == F.col("__k"), "left_semi").groupBy(F.col(own).alias("__b")).agg(F.sum(W).alias("__n"))
             turned = touched.join(was, F.col("__k") == F.col("__b"), "left").select("__k", F.coalesce("__n", F.lit(0)).alias("__n"), (F.coalesce("__n", F.lit(0)) + F.col("__d")).alias("__m"))
             turned = turned.select("__k", F.when((F.col("__n") > 0) & (F.col("__m") <= 0), 1).when((F.col("__n") <= 0) & (F.col("__m") > 0), -1).alias("__s")).where("__s is not null")
             dangling = other.join(turned, F.col(key) == F.col("__k"))
@@ -126,11 +163,14 @@ class Delta:
 
     def _exists(self, n: ir.Exists) -> DataFrame | None:
         child, inner = self.delta(n.child), self.delta(n.inner)
+        back = [(i, c) for c, i in n.equal]
         parts = []
         if child is not None:
-            parts.append(self._counted(netted(child, n.child.cols), self.pre(n.inner), n))
+            parts.append(self._counted(netted(child, n.child.cols), self._near(self.pre(n.inner), n.child, n.equal), n))
         if inner is not None:
             # the semi join first: only rows that the change touches are shuffled by all their columns
-            touched = netted(self.post(n.child).join(netted(inner, n.inner.cols), n.condition, "left_semi"), n.child.cols)
-            parts += [self._counted(touched, self.pre(n.inner), n).withColumn(W, -F.col(W)), self._counted(touched, self.post(n.inner), n)]
+            outer = self._near(self.post(n.child), n.inner, back)
+            touched = netted(outer.join(netted(inner, n.inner.cols), n.condition, "left_semi"), n.child.cols)
+            own = [(i, i) for _, i in n.equal]
+            parts += [self._counted(touched, self._near(self.pre(n.inner), n.inner, own), n).withColumn(W, -F.col(W)), self._counted(touched, self._near(self.post(n.inner), n.inner, own), n)]
         return _union(parts)

@@ -34,6 +34,16 @@ class Filter(Node):
 class Project(Node):
     child: Node
     exprs: list[Any]
+    plain: list[str | None]  # the child's column that an expression is, if it is no more than that
+
+
+@dataclass
+class Generate(Node):
+    """Rows of child, each with every row that a function of it returns."""
+
+    child: Node
+    function: Any
+    names: list[str]
 
 
 @dataclass
@@ -43,6 +53,7 @@ class Join(Node):
     kind: str
     condition: Any
     keys: tuple[str, str] | None = None
+    equal: list[tuple[str, str]] = field(default_factory=list)  # columns of left and right that have to be equal
 
 
 @dataclass
@@ -53,6 +64,7 @@ class Exists(Node):
     inner: Node
     condition: Any
     count: str
+    equal: list[tuple[str, str]] = field(default_factory=list)
 
 
 @dataclass
@@ -86,6 +98,10 @@ class View:
     def outer(self) -> bool:
         return any(isinstance(n, Join) and n.kind in ("left", "right", "full") for n in walk(self.body))
 
+    def alone(self) -> bool:
+        """One table once, no DISTINCT, no GROUP BY: concurrent insertions do not touch each other's rows."""
+        return self.kind == "bag" and not self.exists and len(_tables(self.body)) == 1
+
 
 def children(n: Node) -> list[Node]:
     return [c for c in (getattr(n, k, None) for k in ("child", "left", "right", "inner")) if c is not None]

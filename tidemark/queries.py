@@ -11,11 +11,13 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import ChangeSet, ViewEngine
+from .errors import EngineError
 
 #: Columns read, with exact types for sums.
 COLUMNS = {
@@ -61,8 +63,79 @@ VIEWS: dict[str, tuple[str, str]] = {
     "exists_theta": ("nation supplier", "SELECT n_nationkey, n_name FROM nation WHERE EXISTS (SELECT 1 FROM supplier WHERE s_suppkey > n_nationkey + 60 AND s_nationkey = n_nationkey)"),
     "exists_distinct": ("orders lineitem", "SELECT DISTINCT o_custkey, o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')"),
 }
+#: Pairs of join types over three tables; both inner is in three_way_join.
+KINDS = ("INNER", "LEFT", "RIGHT", "FULL")
+PAIRS = [(x, y) for x in KINDS for y in KINDS if (x, y) != ("INNER", "INNER")]
+
+
+def _pair(x: str, y: str) -> str:
+    return f"SELECT d.doc_id AS d, l.doc_id AS l, quality, c_custkey AS c FROM documents d {x} JOIN labels l ON d.doc_id = l.doc_id {y} JOIN customer c ON l.doc_id = c_custkey"
+
+
+#: Definitions that are refused, over the tables nation and region, and the view v, with the messages.
+ON = "on incrementally maintainable materialized view"
+REJECTED = {
+    "SELECT n_name FROM nation ORDER BY n_name": f"ORDER BY clause is not supported {ON}",
+    "SELECT n_name FROM nation LIMIT 1": f"LIMIT/OFFSET clause is not supported {ON}",
+    "SELECT n_name FROM nation OFFSET 1": f"LIMIT/OFFSET clause is not supported {ON}",
+    "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey HAVING count(*) > 1": f"HAVING clause is not supported {ON}",
+    "SELECT n_name, row_number() OVER (ORDER BY n_name) AS r FROM nation": f"window functions are not supported {ON}",
+    "SELECT n_name FROM nation UNION SELECT r_name FROM region": f"UNION/INTERSECT/EXCEPT statements are not supported {ON}",
+    "SELECT n_name FROM nation UNION ALL SELECT r_name FROM region": f"UNION/INTERSECT/EXCEPT statements are not supported {ON}",
+    "SELECT n_name FROM nation INTERSECT SELECT r_name FROM region": f"UNION/INTERSECT/EXCEPT statements are not supported {ON}",
+    "SELECT n_name FROM nation EXCEPT SELECT r_name FROM region": f"UNION/INTERSECT/EXCEPT statements are not supported {ON}",
+    "SELECT DISTINCT ON (n_regionkey) n_regionkey, n_name FROM nation": f"DISTINCT ON is not supported {ON}",
+    "SELECT sum(n_nationkey) * 2 AS s FROM nation": f"expression containing an aggregate in it is not supported {ON}",
+    "SELECT n_regionkey FROM nation GROUP BY n_regionkey": f"GROUP BY clause without aggregate is not supported {ON}",
+    "SELECT count(*) AS n FROM nation GROUP BY n_regionkey": f"GROUP BY expression not appearing in select list is not supported {ON}",
+    "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY ROLLUP(n_regionkey)": f"GROUPING SETS, ROLLUP, or CUBE clauses is not supported {ON}",
+    "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY CUBE(n_regionkey)": f"GROUPING SETS, ROLLUP, or CUBE clauses is not supported {ON}",
+    "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY GROUPING SETS ((n_regionkey), ())": f"GROUPING SETS, ROLLUP, or CUBE clauses is not supported {ON}",
+    "SELECT count(DISTINCT n_regionkey) AS n FROM nation": f"aggregate function with DISTINCT arguments is not supported {ON}",
+    "SELECT count(n_regionkey) FILTER (WHERE n_nationkey > 3) AS n FROM nation": f"aggregate function with FILTER clause is not supported {ON}",
+    "SELECT r_name, s FROM region JOIN (SELECT n_regionkey, sum(n_nationkey) AS s FROM nation GROUP BY n_regionkey) q ON n_regionkey = r_regionkey": f"aggregate functions in nested query are not supported {ON}",
+    "SELECT x FROM (SELECT DISTINCT n_regionkey AS x FROM nation) q": f"DISTINCT clause in nested query are not supported {ON}",
+    "SELECT n_name, rand() AS r FROM nation": f"mutable function is not supported {ON}",
+    "SELECT n_name, current_date() AS d FROM nation": f"mutable function is not supported {ON}",
+    "SELECT n_name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region)": "sublink only supports subquery with EXISTS clause in WHERE clause",
+    "SELECT n_name, (SELECT max(r_name) FROM region) AS m FROM nation": "sublink only supports subquery with EXISTS clause in WHERE clause",
+    "SELECT n_name FROM nation WHERE NOT EXISTS (SELECT 1 FROM region WHERE r_regionkey = n_regionkey)": "OR or NOT conditions and EXISTS condition can not be used together",
+    "SELECT n_name, n_regionkey FROM nation WHERE n_nationkey > 3 OR EXISTS (SELECT 1 FROM region WHERE r_regionkey = n_regionkey)": "OR or NOT conditions and EXISTS condition can not be used together",
+    "SELECT n_name FROM nation WHERE EXISTS (SELECT 1 FROM region WHERE r_regionkey = n_regionkey)": "targetlist must contain vars that are referred to in EXISTS subquery",
+    "SELECT n_regionkey, count(*) AS n FROM nation WHERE EXISTS (SELECT 1 FROM region WHERE r_regionkey = n_regionkey) GROUP BY n_regionkey": "sublink only supports subquery with EXISTS clause in WHERE clause",
+    "SELECT n_name, n_regionkey FROM nation WHERE EXISTS (SELECT 1 FROM region WHERE r_regionkey = n_regionkey AND EXISTS (SELECT 1 FROM nation x WHERE x.n_regionkey = r_regionkey))": f"nested sublink is not supported {ON}",
+    "SELECT n_name, n_regionkey FROM nation WHERE EXISTS (WITH q AS (SELECT r_regionkey FROM region) SELECT 1 FROM q WHERE r_regionkey = n_regionkey)": f"CTE in EXIST clause is not supported {ON}",
+    "SELECT n_name FROM nation TABLESAMPLE (10 PERCENT)": f"TABLESAMPLE clause is not supported {ON}",
+    "VALUES (1)": f"VALUES is not supported {ON}",
+    "SELECT n_name, x FROM nation JOIN (VALUES (1), (2)) AS q(x) ON x = n_nationkey": f"VALUES is not supported {ON}",
+    "WITH q AS (SELECT r_name FROM region) SELECT n_name FROM nation": f"Ureferenced WITH query is not supported {ON}",
+    "WITH RECURSIVE q(x) AS (SELECT 1 UNION ALL SELECT x + 1 FROM q WHERE x < 3) SELECT x FROM q": f"recursive query is not supported {ON}",
+    "WITH __ivm_q AS (SELECT n_name FROM nation) SELECT n_name FROM __ivm_q": f"WITH query name __ivm_q is not supported {ON}",
+    "SELECT n_name AS __ivm_name FROM nation": f"column name __ivm_name is not supported {ON}",
+    "SELECT _metadata FROM nation": f"system column is not supported {ON}",
+    "SELECT FROM nation": f"empty target list is not supported {ON}",
+    "SELECT n_name FROM nation FOR UPDATE": f"FOR UPDATE/SHARE clause is not supported {ON}",
+    "SELECT map(n_name, n_nationkey) AS m FROM nation": 'data type map<string,int> has no default operator class for access method "btree"',
+    "SELECT a FROM v": f"including IMMV in definition is not supported {ON}",
+    "SELECT id FROM foreign_rows": f"VIEW or MATERIALIZED VIEW is not supported {ON}",
+    "INSERT INTO nation VALUES (1, 'x', 1)": "view definition must specify SELECT statement",
+    "CREATE TABLE x (i INT)": "view definition must specify SELECT statement",
+    "SELECT n_name, r_name, r_regionkey, n_regionkey FROM nation LEFT JOIN region ON n_regionkey > r_regionkey": "Only simple equijoin is supported with outer join",
+    "SELECT n_name, r_name, r_regionkey, n_regionkey FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND n_nationkey > 3": "Only simple equijoin is supported with outer join",
+    "SELECT n_name, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey": "targetlist must contain vars in the join condition with outer join",
+    "SELECT count(*) AS n FROM nation LEFT JOIN region ON n_regionkey = r_regionkey": "aggregate is not supported with outer join",
+    "SELECT n_regionkey, r_regionkey, coalesce(r_name, '') AS r FROM nation LEFT JOIN region ON n_regionkey = r_regionkey": "targetlist cannot contain non strict functions with outer join",
+    "SELECT n_regionkey, r_regionkey FROM nation LEFT JOIN region ON n_regionkey = r_regionkey WHERE r_name IS NULL": "WHERE cannot contain non null-rejecting predicates with outer join",
+    "SELECT n_regionkey, r_regionkey FROM nation LEFT JOIN region ON n_regionkey = r_regionkey WHERE NOT (r_name IS NOT NULL)": "WHERE cannot contain non null-rejecting predicates with outer join",
+    "SELECT n_regionkey, q.k FROM nation LEFT JOIN (SELECT r_regionkey AS k FROM region) q ON n_regionkey = q.k": "subquery is not supported with outer join",
+    "SELECT n_regionkey, r_regionkey FROM nation LEFT JOIN region ON n_regionkey = r_regionkey WHERE EXISTS (SELECT 1 FROM region x WHERE x.r_regionkey = n_regionkey)": "subquery is not supported with outer join",
+}
+
+
 def _folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return f"{(folder or 'file://' + tempfile.gettempdir()).rstrip('/')}/engine-{uuid.uuid4().hex}"
 
 
@@ -181,8 +254,8 @@ def hidden_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def row_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A view whose owner sees some rows only."""
     engine, data = started(spark, sf_dir, ["documents"])
-    engine.catalog["tables"]["documents"]["filter"] = {"ann": "lang = 'en'"}
     engine.create_view("mine", "SELECT source, count(*) AS n FROM documents GROUP BY source", owner="ann")
+    engine.set_row_filter("documents", "ann", "lang = 'en'")
     led(engine, data)
     return _plain(engine.read("mine"))
 
@@ -224,6 +297,125 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(engine.read("s"))
 
 
+def outer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two outer joins in a row, of every pair of types."""
+    engine, data = started(spark, sf_dir, ["documents", "labels", "customer"])
+    for x, y in PAIRS:
+        engine.create_view(f"{x}_{y}".lower(), _pair(x, y))
+    led(engine, data)
+    out = [engine.read(f"{x}_{y}".lower()).select(F.lit(f"{x} {y}").alias("pair"), "d", "l", "quality", "c") for x, y in PAIRS]
+    return reduce(DataFrame.union, out)
+
+
+OUTER_FOUR = "SELECT d.doc_id AS d, l.doc_id AS l, s_suppkey AS s, c_custkey AS c FROM (documents d FULL JOIN labels l ON d.doc_id = l.doc_id) FULL JOIN (supplier FULL JOIN customer ON s_suppkey = c_custkey) ON d.doc_id = s_suppkey"
+OUTER_CROSS = "SELECT d.doc_id AS d, r_regionkey AS r, n_nationkey AS n, s_suppkey AS s FROM documents d LEFT JOIN (keyed_regions CROSS JOIN (keyed_nations FULL JOIN supplier ON n_nationkey = s_suppkey)) ON d.doc_id = r_regionkey"
+OUTER_NULLS = "SELECT d.k AS d, l.k AS l, l.quality, s.doc_id AS s FROM keyed_documents d FULL JOIN keyed_labels l ON d.k = l.k FULL JOIN labels s ON l.quality = s.doc_id"
+#: Tables with null keys, or with keys of the type of others'.
+KEYED = {
+    "keyed_documents": "SELECT CASE WHEN doc_id % 3 <> 0 THEN doc_id % 60 END AS k FROM documents WHERE doc_id < 200",
+    "keyed_labels": "SELECT CASE WHEN doc_id % 5 <> 0 THEN doc_id % 90 END AS k, CASE WHEN doc_id % 2 = 0 THEN CAST(quality AS BIGINT) END AS quality FROM labels",
+    "keyed_regions": "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey FROM region",
+    "keyed_nations": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation",
+}
+
+
+def outer_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outer joins of four tables, over a cross join, and on keys that are null."""
+    engine, data = started(spark, sf_dir, ["documents", "labels", "supplier", "customer"])
+    for name, sql in KEYED.items():
+        plain = re.search(r"FROM (\w+)", sql)[1]
+        df = spark.read.parquet(f"{sf_dir}/{plain}.parquet")
+        rows = spark.sql(sql.replace(f"FROM {plain}", "FROM {t}"), t=df)
+        data[name] = rows.withColumn("__h", F.pmod(F.xxhash64(*rows.columns), F.lit(10)))
+        engine.create_table(name, data[name].where("__h <> 3").union(data[name].where("__h = 5")).drop("__h"))
+    for name, sql in (("four", OUTER_FOUR), ("crossed", OUTER_CROSS), ("nulls", OUTER_NULLS)):
+        engine.create_view(name, sql)
+    led(engine, data)
+    out = [engine.read(n).toDF("a", "b", "c", "d").select(F.lit(n).alias("shape"), *[F.col(x).cast("long").alias(x) for x in "abcd"]) for n in ("four", "crossed", "nulls")]
+    return reduce(DataFrame.union, out)
+
+
+def decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact sums of decimals of 28 and 38 digits through insertions and deletions; as text."""
+    engine, rows = ViewEngine(spark, _folder(spark)), spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    df = rows.selectExpr("l_returnflag", "l_linenumber", "cast(concat(l_orderkey, '.0000000005') as decimal(28,10)) as x", "cast(concat('-', l_partkey, '.000000000000000007') as decimal(38,18)) as y")
+    engine.create_table("numbers", df.where("l_linenumber <> 2").union(df.where("l_linenumber = 3")))
+    engine.create_view("sums", "SELECT l_returnflag, sum(x) AS sx, sum(y) AS sy, count(*) AS n FROM numbers GROUP BY l_returnflag")
+    engine.create_view("least", "SELECT l_returnflag, sum(x) AS sx, min(y) AS my, avg(x) AS ax FROM numbers GROUP BY l_returnflag")
+    engine.insert("numbers", df.where("l_linenumber = 2"))
+    engine.apply({"numbers": ChangeSet(deleted=df.where("l_linenumber = 3"))})
+    both = engine.read("sums").join(engine.read("least").toDF("l_returnflag", "sx2", "my", "ax"), "l_returnflag")
+    return both.select("l_returnflag", "n", *[F.col(c).cast("string").alias(c) for c in ("sx", "sy", "sx2", "my")], F.round(F.col("ax").cast("double"), 4).alias("ax"))
+
+
+def absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deletions of rows that are not there, or not so often, take what is there."""
+    engine, data = started(spark, sf_dir, ["labels"])
+    engine.create_view("v", "SELECT quality, count(*) AS n, sum(doc_id) AS s, max(doc_id) AS ma FROM labels GROUP BY quality")
+    led(engine, data)
+    all_ = data["labels"].drop("__h")
+    few = all_.where("doc_id % 4 = 0")
+    engine.apply({"labels": ChangeSet(deleted=all_.selectExpr("doc_id + 100000000 as doc_id", "quality", "toxic").union(few).union(few))})
+    engine.insert("labels", few.union(all_.selectExpr("doc_id + 100000000 as doc_id", "quality", "toxic")))
+    engine.delete("labels", "doc_id >= 100000000")
+    return _plain(engine.read("v"))
+
+
+def lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of rows in FROM follow their tables."""
+    engine, data = started(spark, sf_dir, ["orders", "customer"])
+    engine.create_view("v", "SELECT word, c_mktsegment, count(*) AS n FROM customer JOIN (SELECT o_custkey, word FROM orders LATERAL VIEW explode(split(o_orderpriority, '-')) t AS word) q ON o_custkey = c_custkey GROUP BY word, c_mktsegment")
+    led(engine, data)
+    return _plain(engine.read("v"))
+
+
+def unfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views created without data are empty under changes, until they are refreshed."""
+    engine, data = started(spark, sf_dir, ["nation", "region"])
+    for name in ("filled", "empty"):
+        engine.create_view(name, "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey", with_data=False)
+    engine.insert("nation", data["nation"].where("__h = 3").drop("__h"))
+    engine.refresh_view("filled")
+    engine.insert("region", data["region"].where("__h = 3").drop("__h"))
+    engine.apply({t: ChangeSet(deleted=df.where("__h = 5").drop("__h")) for t, df in data.items()})
+    return engine.read("filled").unionByName(engine.read("empty"))
+
+
+def redefined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions after renames, and the commands that restore them."""
+    engine, _ = started(spark, sf_dir, ["nation", "region"])
+    engine.create_view("plain(nation, n)", "SELECT r_name, count(*) FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey > 3 GROUP BY r_name")
+    engine.create_view("joined", "SELECT n_name, a.n_regionkey, r_regionkey FROM nation a LEFT JOIN region ON a.n_regionkey = region.r_regionkey")
+    engine.rename_table("region", "continent")
+    engine.rename_column("nation", "n_regionkey", "place")
+    engine.rename_column("continent", "r_name", "called")
+    rows = [(n, engine.view_definition(n), c) for n, c in zip(("joined", "plain"), engine.restore_commands())]
+    for n in ("plain", "joined"):
+        engine.drop_view(n)
+    for _, _, c in rows:
+        engine.run(c)
+    return spark.createDataFrame([(n, d, c, engine.is_view(n)) for n, d, c in rows], "view string, definition string, command string, restored boolean")
+
+
+def rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions that are refused, and with what message."""
+    engine, _ = started(spark, sf_dir, ["nation", "region"])
+    engine.create_view("v(a)", "SELECT r_name FROM region")
+    spark.range(1).createOrReplaceTempView("foreign_rows")
+    rows = []
+    for sql in REJECTED:
+        try:
+            engine.create_view("refused", sql)
+            rows.append((sql, "accepted"))
+        except EngineError as e:
+            rows.append((sql, str(e)))
+    return spark.createDataFrame(rows, "statement string, message string")
+
+
+def _said(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
 OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "update": (updated, "SELECT n_regionkey AS region, count(*) AS n, sum(c_custkey) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey"),
     "truncate": (truncated, "SELECT d.doc_id, l.doc_id AS label_id, (SELECT count(*) FROM labels) AS n, (SELECT sum(quality) FROM labels) AS s FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
@@ -253,4 +445,20 @@ def _oracle(sql: str) -> str:
     return f"WITH {head} SELECT *{f' REPLACE ({', '.join(casts)})' if casts else ''} FROM ({body})"
 
 
-ORACLE_SQL = {f"view_{n}": _oracle(sql) for n, (_, sql) in VIEWS.items()} | {n: _oracle(sql) for n, (_, sql) in OTHERS.items()}
+def _shape(name: str, sql: str) -> str:
+    return f"SELECT '{name}' AS shape, a, b, c, d FROM ({sql}) AS q(a, b, c, d)"
+
+
+#: Queries whose SQL is their own.
+OWN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "view_outer_pairs": (outer_pairs, " UNION ALL ".join(f"SELECT '{x} {y}' AS pair, * FROM ({_pair(x, y)})" for x, y in PAIRS)),
+    "view_outer_shapes": (outer_shapes, f"WITH {', '.join(f'{n} AS ({q})' for n, q in KEYED.items())} " + " UNION ALL ".join([_shape("four", OUTER_FOUR), _shape("crossed", OUTER_CROSS), _shape("nulls", OUTER_NULLS)])),
+    "exact_decimals": (decimals, "WITH numbers AS (SELECT l_returnflag, CAST(concat(l_orderkey, '.0000000005') AS DECIMAL(28,10)) AS x, CAST(concat('-', l_partkey, '.000000000000000007') AS DECIMAL(38,18)) AS y FROM lineitem) SELECT l_returnflag, count(*) AS n, CAST(sum(x) AS VARCHAR) AS sx, CAST(sum(y) AS VARCHAR) AS sy, CAST(sum(x) AS VARCHAR) AS sx2, CAST(min(y) AS VARCHAR) AS my, round(CAST(sum(x) AS DOUBLE) / count(*), 4) AS ax FROM numbers GROUP BY l_returnflag"),
+    "absent_rows": (absent, "SELECT quality, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS s, max(doc_id) AS ma FROM labels GROUP BY quality"),
+    "view_lateral": (lateral, "SELECT word, c_mktsegment, count(*) AS n FROM customer JOIN (SELECT o_custkey, unnest(string_split(o_orderpriority, '-')) AS word FROM orders) ON o_custkey = c_custkey GROUP BY word, c_mktsegment"),
+    "create_without_data": (unfilled, "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "definitions": (redefined, "SELECT * FROM (VALUES ('joined', 'SELECT n_name, a.place AS n_regionkey, r_regionkey FROM nation a LEFT JOIN continent AS region ON a.place = region.r_regionkey', 'SELECT restore_immv(''joined'', ''SELECT n_name, a.place AS n_regionkey, r_regionkey FROM nation a LEFT JOIN continent AS region ON a.place = region.r_regionkey'');', true), ('plain', 'SELECT called AS nation, count(*) AS n FROM nation JOIN continent AS region ON place = r_regionkey WHERE n_nationkey > 3 GROUP BY called', 'SELECT restore_immv(''plain(nation, n)'', ''SELECT called AS r_name, count(*) FROM nation JOIN continent AS region ON place = r_regionkey WHERE n_nationkey > 3 GROUP BY called'');', true)) AS t(view, definition, command, restored)"),
+    "rejections": (rejections, f"SELECT * FROM (VALUES {', '.join(f'({_said(s)}, {_said(m)})' for s, m in REJECTED.items())}) AS t(statement, message)"),
+}
+QUERIES |= {n: f for n, (f, _) in OWN.items()}
+ORACLE_SQL = {f"view_{n}": _oracle(sql) for n, (_, sql) in VIEWS.items()} | {n: _oracle(sql) for n, (_, sql) in OTHERS.items()} | {n: sql for n, (_, sql) in OWN.items()}

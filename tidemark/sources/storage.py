@@ -1,8 +1,9 @@
 """Relations as immutable signed Parquet files and a catalog of them.
 
 A relation's state is the bag sum of its files: rows carry a weight, positive for copies added and
-negative for copies taken. A statement writes its delta only; once a relation has many files they
-those that are small beside their successors are folded, so a large file is seldom written again. The
+negative for copies taken. A statement writes its delta only; once a relation has many files, those
+that are small beside their successors are folded, so a large file is seldom written again. Files of
+a relation with keys are written in ranges of them, so that row groups can be skipped by key. The
 catalog is JSON, one file per version, which a rename publishes: readers see all of a transaction or
 nothing, and a version that another driver has published is refused. (The rename itself refuses where
 the file system's does, as HDFS's; elsewhere a look before it does.)
@@ -13,7 +14,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +24,8 @@ W = "__w"
 #: Files of a relation before some are folded; a file is folded with those after it once they have this
 #: share of its bytes.
 FOLD, SHARE = 8, 0.5
+#: Copies of a row that are made from one array; more take several.
+COPIES = 4096
 TAKEN = "another driver has published version %d"
 
 
@@ -34,11 +37,22 @@ class Store:
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.path))
 
-    def write(self, df: DataFrame) -> str:
-        """A new file of df, by its name."""
+    def write(self, df: DataFrame, keys: list[str] | None = None) -> str:
+        """A new file of df, by its name; in ranges of keys if there are some."""
+        return self.observed(df, [], keys)[0]
+
+    def observed(self, df: DataFrame, seen: list[Column], keys: list[str] | None = None) -> tuple[str, dict]:
+        """A new file of df, and aggregates of its rows from the job that writes it."""
         where = f"data/{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{where}")
-        return where
+        if keys:
+            by = [F.col(f"`{k}`") for k in keys]
+            df = df.repartitionByRange(*by).sortWithinPartitions(*by)
+        if not seen:
+            df.write.parquet(f"{self.path}/{where}")
+            return where, {}
+        found = Observation()
+        df.observe(found, *seen).write.parquet(f"{self.path}/{where}")
+        return where, found.get
 
     def read(self, files: list[str], schema: T.StructType) -> DataFrame:
         if not files:
@@ -86,9 +100,11 @@ class Store:
 
 def netted(df: DataFrame, cols: list[str]) -> DataFrame:
     """df with each different row once, its weights summed, zeros gone."""
-    return df.groupBy(*[F.col(c) for c in cols]).agg(F.sum(W).alias(W)).where(F.col(W) != 0)
+    return df.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.sum(W).alias(W)).where(F.col(W) != 0)
 
 
 def expanded(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Each row as often as its weight says."""
-    return df.where(F.col(W) > 0).select(*[F.col(c) for c in cols], F.explode(F.array_repeat(F.lit(1), F.col(W).cast("int"))).alias("__i")).drop("__i")
+    """Each row as often as its weight says; a row of very many copies by several arrays."""
+    rounds = df.where(F.col(W) > 0).withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({W} - 1) div {COPIES}"))))
+    left = F.least(F.lit(COPIES).cast("long"), F.col(W) - F.col("__i") * COPIES).cast("int")
+    return rounds.select(*[F.col(f"`{c}`") for c in cols], F.explode(F.array_repeat(F.lit(1), left)).alias("__i")).drop("__i")
