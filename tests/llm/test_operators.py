@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tidemark.llm import chat, hnsw, html_text, language_id, licenses, line_dedup, minhash, mixing, packing, topk, vector_dedup
+from tidemark.llm import chat, hnsw, language_id, licenses, line_dedup, minhash, mixing, packing, topk, vector_dedup
 from tidemark.llm.components import connected_components
 
 WORDS = [f"w{i}" for i in range(300)]
@@ -244,11 +244,6 @@ def test_chat(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
-def test_html():
-    page = "<html><head><title>T</title></head><body><header>Site</header><nav><a>m</a></nav><div id=cookie-notice>We use, it.</div><article><h1>Head</h1><p>One &amp; two,\n  three.<br>Four <b>bo</b>ld.<p>Five.</p><form>no</form><script>var t='</p>';</script></article><div class='comments'><p>Nice, long, very long, comment.</p></div><footer>f"
-    assert html_text.extract(page) == "Head One & two, three. Four bold. Five."
-    assert [html_text.extract(x) for x in (None, "", "<nav>a</nav>", "<!-- a", "plain")] == ["", "", "", "", "plain"]
-
 
 def vectors(spark, dims=8, n=300):
     draw = np.random.default_rng(4)

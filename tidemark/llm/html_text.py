@@ -1,18 +1,26 @@
 """Main text of web pages by tag-path ratios.
 
-A page's text nodes are grouped by root-to-leaf tag path (tags with their first class). Each path has
-the ratio of its text length and of its punctuation to its nodes; both are smoothed over the page's
-sequence of nodes and fused, and nodes over a threshold are content nodes. The smallest container
-that holds nearly all of their text is the article; its blocks are returned but for those elements
-that are never part of one (menus, asides, forms ...) by tag, role, or words of class or id.
+A page is cut into blocks of text at its block-level tags. Blocks are grouped by root-to-leaf tag path
+(block-level tags; generic containers with their first class). Each path has the ratio of its text
+length, and of its punctuation, to its number of blocks, links left out; both are smoothed over the
+page's sequence of blocks and fused, tags around them weigh in, and paths over a threshold of the page
+are content. All blocks of content paths are returned, with those short ones between or beside them
+in the same container that nothing speaks against (headings, list items, cells).
 
-Pages are parsed one by one with no state between them, so a hot host is as good as any other.
+What speaks against a block, whatever its path: elements that no article's text is in (head, nav, aside
+...), roles, hidden elements, names of class or id of which every word says so, forms that hold less
+than half of the page's text, lists of links, and reader comments: by name, articles in an article, and
+siblings most of which are signed by a time, a citation or an author.
+
+Pages are parsed one by one with no state between them, so a hot host is as good as any other. A page
+is read once from left to right, and open elements are found by tag, so that time grows with its
+length whatever its tags; paths are numbers that refer to their parents'.
 
 Defined results: null and empty pages, and those without text outside such elements, have empty text
 and n_chars 0; unclosed and stray tags are met as browsers do for paragraphs and list items and are
-else closed with their parents; unterminated comments, scripts and styles run to the end; repeated
-rows are returned each; an empty table gives no rows. Other columns pass through, but for those
-named text and n_chars.
+else closed with their parents; unterminated comments, scripts, styles and tags run to the end;
+repeated rows are returned each; an empty table gives no rows. Other columns pass through, but for
+those named text and n_chars.
 """
 
 from __future__ import annotations
@@ -25,154 +33,323 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: A node is content from this share of the page's mean fused ratio; neighbours that smoothing takes
-#: in on each side; the share of content text that a container must hold.
-THRESHOLD, AROUND, HOLDS = 0.5, 1, 0.9
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|</?[a-zA-Z][^>]*>|<[!?][^>]*>",
-    re.S | re.I,
-)
-ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: A path is content from this share of the page's mean path score, weighed by text; smoothing's weights
+#: of a block and its neighbours; the share of a page's text from which a form is its frame.
+THRESHOLD, WEIGHTS, FRAME = 0.25, (1, 2, 1), 0.5
+#: Weight of paths in an article or main element; share of a list's text in links that makes it a menu.
+INSIDE, LINKS = 2.0, 0.8
+#: Blocks of this many neighbours before the first content block may hold its heading.
+BEFORE = 3
+OPENING = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+ATTRIBUTE = re.compile(r"[\s/]*(?:(>)|([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?|=)")
+RAW = frozenset("script style noscript template textarea title iframe svg math xmp noembed noframes".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that no article's text is in; head covers titles outside of it.
-NEVER = frozenset("head nav footer aside form button select option datalist dialog menu object audio video canvas".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("ul ol dl menu".split())
+#: Elements that no article's text is in.
+NEVER = frozenset("head nav footer aside button select option optgroup datalist dialog menu object audio video canvas map fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-#: Words of class and id, and starts of words, of what is around an article.
+#: Words of names around an article; in a name that speaks, all words are of these or of the next.
 WORDS = frozenset(
-    "ad ads adbox adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay "
-    "newsletter subscribe subscription signup login share sharing social related recommended recommendations sidebar menu nav navbar navigation breadcrumb breadcrumbs "
-    "comment comments reply replies respond disqus discussion footer masthead topbar toolbar widget pagination pager paywall alert disclaimer".split()
+    "ad ads adbox adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr popup modal overlay "
+    "newsletter subscribe subscription signup login share sharing social recommended recommendations sidebar menu nav navbar navigation breadcrumb breadcrumbs "
+    "comment comments reply replies respond disqus footer masthead topbar toolbar widget pagination pager paywall disclaimer copyright".split()
 )
-CONTAINERS = frozenset("html body main article section div td table tbody tr center".split())
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-STOPS = frozenset("ul ol dl table div article section main body td th".split())
+#: Words that speak outside of an article only, where they may name its parts.
+OUTSIDE = frozenset("related notice notices alert alerts feedback thread threads discussion discussions reviews reactions responses guestbook talkback header popular trending tags".split())
+FILLERS = frozenset("area bar block body box column container content footer global group inner item items left right link links list main message outer page panel section site top bottom wrap wrapper widget text form button buttons posts articles stories news media icons js c m o u".split())
+#: Names of what signs a comment.
+SIGNS = frozenset("author user username avatar commenter commentator nick nickname timestamp permalink".split())
+#: Containers whose first class is part of a path.
+CLASSED = frozenset("div section td ul ol dl table".split())
+CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+STOPS = frozenset("ul ol dl table div article section main body td th aside nav form blockquote".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？；：、¿¡]")
+SPLIT = re.compile(r"[^a-z0-9]+")
 
 
-class Node:
-    __slots__ = ("tag", "parent", "path", "never", "block", "link", "article", "mass")
-
-    def __init__(self, tag: str, parent: Node | None, attrs: str):
-        self.tag, self.parent, self.mass = tag, parent, 0
-        words, first, role = set(), "", ""
-        for m in ATTR.finditer(attrs) if attrs.strip() else ():
-            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if name in ("class", "id"):
-                words.update(re.split(r"[^a-z0-9]+", value))
-                first = first or (value.split() or [""])[0] if name == "class" else first
-            elif name == "role":
-                role = value.strip()
-            elif name == "hidden" or value == "true":
-                words.add("popup")
-        self.path = f"{parent.path if parent else ''}/{tag}{'.' + first if first else ''}"
-        self.article = tag in ("article", "main") or bool(parent and parent.article)
-        never = tag in NEVER or role in ROLES or tag not in ("html", "body", "article", "main") and bool(words & WORDS) or tag == "header" and not (parent and parent.article)
-        self.never = never or bool(parent and parent.never)
-        self.block = tag not in INLINE
-        self.link = tag == "a" or bool(parent and parent.link)
-
-
-def _runs(page: str) -> list[list]:
-    """Text runs in page order: node, number of the block, text (white space kept)."""
-    root = now = Node("", None, "")
-    runs: list[list] = []
-    block = at = 0
-
-    def text(to: int) -> None:
-        if to > at:
-            runs.append([now, block, html.unescape(page[at:to])])
-
-    for m in TOKEN.finditer(page):
-        text(m.start())
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if not tag:
-            continue
+class Element:
+    __slots__ = ("tag", "parent", "path", "never", "article", "form", "signed", "kids", "speaks", "block")
+
+    def __init__(self, tag: str, parent: Element | None):
+        self.tag, self.parent, self.kids = tag, parent, None
+        self.block = parent.block if parent is not None and tag in INLINE else self  # the nearest that is no inline one
+        self.path, self.signed, self.speaks = 0, False, False
+        self.never = parent is not None and parent.never
+        self.article = parent.article if parent is not None else None
+        self.form = parent.form if parent is not None else None
+
+
+def _speaks(name: str, inside: bool) -> bool:
+    """Whether a class or id names what is around an article."""
+    words = [w for w in SPLIT.split(name) if w and not w.isdigit()]
+    known = [w for w in words if w in WORDS or not inside and w in OUTSIDE]
+    return bool(known) and all(w in FILLERS or w in WORDS or w in OUTSIDE for w in words)
+
+
+class Page:
+    """Blocks of a page: element, text, code points in links."""
+
+    def __init__(self, page: str):
+        self.root = self.now = Element("", None)
+        self.paths: dict[tuple[int, str], int] = {}
+        self.stack, self.open, self.stops = [self.root], {}, [0]
+        self.blocks: list[list] = []
+        self.parts: list[str] = []
+        self.links = self.in_link = 0
+        self.owner = self.root
+        self._read(page)
+
+    # -- elements
+
+    def _flush(self) -> None:
+        if self.parts:
+            text = " ".join("".join(self.parts).split())
+            if text:
+                self.blocks.append([self.owner, text, self.links])
+            self.parts, self.links = [], 0
+
+    def _text(self, text: str) -> None:
+        if not text:
+            return
+        text = html.unescape(text)
+        self.parts.append(text)
+        if self.in_link:
+            self.links += len(text.strip())
+
+    def _begin(self, tag: str, attributes: dict[str, str], closed: bool) -> None:
+        block = tag not in INLINE
+        if block:
+            self._flush()
+            for other in CLOSES.get(tag, ()) or ("p",):
+                at = self.open.get(other)
+                if at and (at[-1] > self.stops[-1] or other in ("td", "th", "tr") and self._row(at[-1])):
+                    self._cut(at[-1])
+        e = Element(tag, self.stack[-1])
+        if tag == "article" or tag == "main" and not e.article:
+            if tag == "article" and e.article is not None and e.article.tag == "article":
+                e.never = True  # an article in an article is a comment on it
+            e.article = e
+        if tag == "form":
+            e.form = e
+        inside = e.article is not None
+        names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
+        style = attributes.get("style", "").lower().replace(" ", "")
+        if tag not in ("html", "body", "article", "main") and any(_speaks(n, inside) for n in names):
+            e.never = True
+        hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
+        if tag in NEVER or tag == "header" and not inside or hidden or (attributes.get("role", "").lower().strip() in ROLES and tag != "form"):
+            e.never = True
+        e.signed = tag in ("time", "cite") or any(w in SIGNS for n in names for w in SPLIT.split(n))
+        key = tag
+        if tag in CLASSED and attributes.get("class", "").split():
+            key = f"{tag}.{attributes['class'].split()[0]}"
+        e.path = self.paths.setdefault((e.parent.path, key), len(self.paths) + 1) if block else e.parent.path
+        if e.signed:
+            self._sign(e)
+        if tag in VOID or closed and tag not in STOPS and tag not in CLOSES:
+            return
+        self.stack.append(e)
+        self.open.setdefault(tag, []).append(len(self.stack) - 1)
+        if tag in STOPS:
+            self.stops.append(len(self.stack) - 1)
+        if tag == "a":
+            self.in_link += 1
+        if block:
+            self.owner = e
+            up = e.parent.block
+            if up.kids is None:
+                up.kids = []
+            up.kids.append(e)
+
+    def _row(self, at: int) -> bool:
+        """Whether only cells and rows are open above this one, as a cell bounds its own contents only."""
+        return all(e.tag in ("td", "th", "tr") or e.tag in INLINE for e in self.stack[at + 1 : at + 4]) and len(self.stack) - at <= 4
+
+    def _sign(self, e: Element) -> None:
+        """What holds a signature is signed, up to the next block but two."""
+        up = e.parent.block
+        for _ in range(3):
+            if up.parent is None or up.tag in ("article", "main", "body"):
+                break
+            up.signed = True
+            up = up.parent.block
+
+    def _cut(self, at: int) -> None:
+        """Closes open elements from that place on."""
+        for i in range(len(self.stack) - 1, at - 1, -1):
+            e = self.stack.pop()
+            self.open[e.tag].pop()
+            if e.tag in STOPS:
+                self.stops.pop()
+            if e.tag == "a":
+                self.in_link -= 1
+            if e.tag not in INLINE:
+                self._flush()
+        self.owner = self.stack[-1].block
+
+    def _end(self, tag: str) -> None:
         if tag not in INLINE:
-            block += 1
-        if m["end"]:
-            up = now
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                now = up.parent
-        elif tag not in VOID:
-            closes = CLOSES.get(tag) or ({"p"} if tag not in INLINE else None)
-            if closes:
-                up = now
-                while up is not root and up.tag not in closes and up.tag not in STOPS:
-                    up = up.parent
-                if up.tag in closes:
-                    now = up.parent
-            if not m["attrs"].rstrip().endswith("/") or tag in CONTAINERS:
-                now = Node(tag, now, m["attrs"])
-    text(len(page))
-    return runs
+            self._flush()
+        at = self.open.get(tag)
+        if at and (tag not in INLINE or at[-1] > self.stops[-1]):
+            self._cut(at[-1])
+        elif tag in ("br", "p"):
+            self._flush()
 
+    # -- scanning
 
-def _smooth(x: list[float]) -> list[float]:
-    return [sum(x[max(0, i - AROUND) : i + AROUND + 1]) / len(x[max(0, i - AROUND) : i + AROUND + 1]) for i in range(len(x))]
+    def _read(self, page: str) -> None:
+        at = start = 0
+        lower = None
+        while True:
+            m = OPENING.search(page, at)
+            if not m:
+                break
+            if m[1]:  # a comment
+                self._text(page[start : m.start()])
+                end = page.find("-->", m.end())
+                at = start = len(page) if end < 0 else end + 3
+                continue
+            if not m[3]:  # a declaration, an instruction or a stray end
+                self._text(page[start : m.start()])
+                end = page.find(">", m.end())
+                at = start = len(page) if end < 0 else end + 1
+                continue
+            self._text(page[start : m.start()])
+            tag, attributes, closed, at = m[3].lower(), {}, False, m.end()
+            while True:
+                a = ATTRIBUTE.match(page, at)
+                if not a:
+                    at = len(page)  # the page ends in the tag
+                    break
+                closed = page[a.end() - 2 : a.end()] == "/>" if a[1] else False
+                at = a.end()
+                if a[1]:
+                    break
+                if a[2]:
+                    attributes.setdefault(a[2].lower(), html.unescape(a[3] or a[4] or a[5] or ""))
+            start = at
+            if m[2]:
+                self._end(tag)
+                continue
+            if tag in RAW and not (closed and tag in ("svg", "math")):
+                lower = page.lower() if lower is None else lower
+                lower = lower if len(lower) == len(page) else "".join(c.lower() if len(c.lower()) == 1 else c for c in page)
+                end = lower.find(f"</{tag}", at)
+                if end >= 0:
+                    end = page.find(">", end)
+                at = start = len(page) if end < 0 else end + 1
+                continue
+            self._begin(tag, attributes, closed)
+        self._text(page[start:])
+        self._cut(1)
+        self._flush()
 
 
-def extract(page: str | None) -> str:
-    """The main text of a page."""
-    runs = [r for r in _runs(page or "") if r[2].strip() or r[2]]
-    nodes = [r for r in runs if r[2].strip() and not r[0].never]
-    if not nodes:
-        return ""
-    lengths, marks, count = {}, {}, {}
-    for node, _, t in nodes:
-        p = node.path
-        lengths[p] = lengths.get(p, 0) + (0 if node.link else len(t.strip()))
-        marks[p] = marks.get(p, 0) + (0 if node.link else len(PUNCTUATION.findall(t)))
-        count[p] = count.get(p, 0) + 1
-    by_length = _smooth([lengths[n.path] / count[n.path] for n, _, _ in nodes])
-    by_marks = _smooth([marks[n.path] / count[n.path] for n, _, _ in nodes])
-    fused = [x * (1 + y) for x, y in zip(by_length, by_marks)]
-    least = THRESHOLD * sum(fused) / len(fused)
-    content = [(n, len(t.strip())) for (n, _, t), f in zip(nodes, fused) if f >= least]
-    # the smallest container of nearly all content: every ancestor gets its text's length
-    total, seen = 0, {}
-    for n, size in content:
-        total += size
-        while n is not None:
-            n.mass += size
-            seen[id(n)] = n
-            n = n.parent
-    articles = [n for n in seen.values() if n.tag == "article" and not (n.parent and _within(n.parent, "article"))]
-    main = [n for n in seen.values() if n.tag == "main"]
-    if articles and sum(n.mass for n in articles) >= 0.5 * total:
-        chosen = [n for n in articles if n.mass >= 0.2 * max(a.mass for a in articles)]
-    elif main and max(n.mass for n in main) >= 0.5 * total:
-        chosen = main
-    else:
-        chosen = [min((n for n in seen.values() if (n.tag in CONTAINERS or n.parent is None) and n.mass >= HOLDS * total), key=lambda n: n.mass - n.path.count("/") / 1e6)]
-    inside = {id(n) for n in chosen}
-    generic = chosen[0].tag not in ("article", "main")
-    blocks: dict[int, list[str]] = {}
-    links: dict[int, int] = {}
-    for node, block, t in runs:
-        if node.never or not any(id(n) in inside for n in _up(node)):
+def _comments(root: Element) -> None:
+    """Marks siblings of one tag most of which are signed, two or more, and all within."""
+    todo = [root]
+    while todo:
+        e = todo.pop()
+        if not e.kids:
+            continue
+        todo += e.kids
+        if e.speaks:
+            for k in e.kids:
+                k.speaks = True
             continue
-        blocks.setdefault(block, []).append(t)
-        if node.link:
-            links[block] = links.get(block, 0) + len(t.strip())
-    out = [" ".join("".join(ts).split()) for b, ts in blocks.items() if not (generic and links.get(b, 0) > 0.8 * sum(len(t.strip()) for t in ts))]
-    return " ".join(filter(None, out))
+        for tag in ("li", "div", "article", "section", "dd", "tr"):
+            some = [k for k in e.kids if k.tag == tag]
+            if len(some) >= 2 and 2 * sum(k.signed for k in some) > len(some) and e.tag not in ("body", "html", ""):
+                for k in some:
+                    k.speaks = True
 
 
-def _up(n: Node | None) -> Iterator[Node]:
-    while n is not None:
-        yield n
-        n = n.parent
+def _against(e: Element, frame: set[int]) -> bool:
+    """Whether a block-level element or one around it speaks against its text."""
+    return e.never or e.speaks or e.form is not None and id(e.form) not in frame
 
 
-def _within(n: Node, tag: str) -> bool:
-    return any(x.tag == tag for x in _up(n))
+def _smooth(x: list[float]) -> list[float]:
+    left, own, right = WEIGHTS
+    out = []
+    for i, v in enumerate(x):
+        total, weight = own * v, own
+        if i:
+            total, weight = total + left * x[i - 1], weight + left
+        if i + 1 < len(x):
+            total, weight = total + right * x[i + 1], weight + right
+        out.append(total / weight)
+    return out
+
+
+def extract(page: str | None) -> str:
+    """The main text of a page."""
+    p = Page(page or "")
+    if not p.blocks:
+        return ""
+    _comments(p.root)
+    total = sum(len(t) for e, t, _ in p.blocks if not e.never)
+    forms: dict[int, int] = {}
+    for e, t, _ in p.blocks:
+        if e.form is not None and not e.never:
+            forms[id(e.form)] = forms.get(id(e.form), 0) + len(t)
+    frame = {f for f, n in forms.items() if n >= FRAME * total}
+    lists: dict[int, list[int]] = {}
+    for e, t, links in p.blocks:
+        up = e if e.tag in LISTS else e.parent
+        if up is not None and up.tag in LISTS:
+            of = lists.setdefault(id(up), [0, 0, 0])
+            of[0], of[1], of[2] = of[0] + len(t), of[1] + links, of[2] + 1
+    menus = {k for k, (n, links, count) in lists.items() if links > LINKS * n and count > 1}
+    rows = [(e, t, links) for e, t, links in p.blocks if not _against(e, frame) and id(e if e.tag in LISTS else e.parent) not in menus]
+    if not rows:
+        return ""
+    # ratios by path, smoothed over the blocks, and fused
+    length, marks, count = {}, {}, {}
+    for e, t, links in rows:
+        free = max(0, len(t) - links) / max(1, len(t))
+        length[e.path] = length.get(e.path, 0) + free * len(t)
+        marks[e.path] = marks.get(e.path, 0) + free * len(PUNCTUATION.findall(t))
+        count[e.path] = count.get(e.path, 0) + 1
+    by_length = _smooth([length[e.path] / count[e.path] for e, _, _ in rows])
+    by_marks = _smooth([marks[e.path] / count[e.path] for e, _, _ in rows])
+    score: dict[int, float] = {}
+    for (e, _, _), x, y in zip(rows, by_length, by_marks):
+        score[e.path] = score.get(e.path, 0) + x * (1 + y) * (INSIDE if e.article is not None else 1) / count[e.path]
+    mean = sum(score[q] * n for q, n in length.items()) / max(1e-9, sum(length.values()))
+    content = {q for q, s in score.items() if s >= THRESHOLD * mean}
+    chosen = [e.path in content for e, _, _ in rows]
+    # short blocks of the same containers
+    first: dict[int, int] = {}
+    last: dict[int, int] = {}
+    articles = set()
+    for i, (e, _, _) in enumerate(rows):
+        if chosen[i]:
+            for up in (e, e.parent):
+                if up is not None:
+                    first.setdefault(id(up), i)
+                    last[id(up)] = i
+            articles.add(id(e.article) if e.article is not None else 0)
+    start = chosen.index(True) if True in chosen else len(rows)
+    out = []
+    for i, (e, t, links) in enumerate(rows):
+        if not chosen[i]:
+            if e.article is not None and id(e.article) in articles:
+                pass
+            elif e.tag in HEADINGS and start - BEFORE <= i < start or e.tag in HEADINGS and i + 1 < len(rows) and chosen[i + 1]:
+                pass
+            else:
+                up, steps, near = e, 0, False
+                while up is not None and steps < 4 and not near:
+                    near = id(up) in first and first[id(up)] < i < last[id(up)]
+                    up, steps = up.parent, steps + 1
+                if not near or links > LINKS * len(t):
+                    continue
+        out.append(t)
+    return " ".join(out)
 
 
 def main_text(pages: DataFrame, column: str = "html") -> DataFrame:
@@ -181,8 +358,10 @@ def main_text(pages: DataFrame, column: str = "html") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [extract(x.as_py()) for x in b.column(column)]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                texts = [extract(x.as_py()) for x in part.column(column)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
     schema = T.StructType([*[pages.schema[c] for c in keep], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     return pages.select(*keep, column).mapInArrow(run, schema)
