@@ -1,25 +1,27 @@
 """Line dedup with DataFrame functions only.
 
-Hashes of all lines are range-partitioned by (hash, document) and sorted by document and position
-within; streaming over a partition gives each line's first occurrence in a document with its
-positions. A very common line spreads over as many partitions as its documents fill. Lines found in
-enough documents come back to their documents as keep bitmaps, never as text.
+Hashes of all lines are range-partitioned by (hash, document) and sorted by document, row and position
+within. Streaming over that order marks the first occurrence of each line in each document; the marks of
+a line are summed before they are shuffled, and are its number of documents. A very common line spreads
+over as many partitions as its documents fill. Occurrences of lines found in enough documents come
+back to their rows as keep bitmaps, never as text.
 
 A bitmap is an array of 64-bit words, bit i % 64 of word i / 64 set if line i stays; words after the
 last that drops a line are left out, so a document that keeps all its lines has an empty array.
 
 Defined results: null or empty text is one empty line, which is kept; keys shorter than
-min_key_chars are kept; a key repeated in one document counts one document; rows equal in doc_id and
-text are one document but stay as many rows; rows with null doc_id are documents by their text.
-Other columns pass through, but for those named n_lines, n_dropped and keep.
+min_key_chars are kept; a key repeated in one document counts one document; all rows of a doc_id are
+one document, whatever their texts, and all rows with null doc_id are one, but each row keeps its own
+lines; an empty table gives no rows. Other columns pass through, but for those named n_lines,
+n_dropped and keep.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, cut
+from .common import BLANKS, ascii_lower, cut, drop
 
 MIN_DOCS, MIN_KEY_CHARS = 10, 1
 
@@ -38,10 +40,12 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_key_chars: int =
     by = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     keyed = by.select("d", "t", "pos", line_key(F.col("line")).alias("k")).where(F.length("k") >= min_key_chars)
     hashed = cut(keyed.select(F.xxhash64("k").alias("h"), F.xxhash64(F.lit(1), "k").alias("g"), "d", "t", "pos"))
-    ordered = hashed.repartitionByRange("h", "g", "d", "t").sortWithinPartitions("h", "g", "d", "t", "pos")
-    firsts = cut(ordered.groupBy("h", "g", "d", "t").agg(F.collect_set("pos").alias("at")))
-    common = cut(firsts.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h", "g"))
-    gone = firsts.join(common, ["h", "g"]).select("d", "t", F.explode("at").alias("pos"))
+    ordered = hashed.repartitionByRange("h", "g", "d").sortWithinPartitions("h", "g", "d", "t", "pos")
+    run = Window.partitionBy("h", "g", "d").orderBy("t", "pos")  # the order that is there already
+    marked = cut(ordered.withColumn("first", F.row_number().over(run) == 1))
+    drop(hashed)
+    common = cut(marked.groupBy("h", "g").agg(F.count_if("first").alias("n")).where(F.col("n") >= min_docs).select("h", "g"))
+    gone = marked.join(common, ["h", "g"]).select("d", "t", "pos")
     words = gone.groupBy("d", "t", F.expr("pos div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
     found = words.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("w", "bits"))).alias("ws"), F.sum(F.bit_count("bits")).alias("n"))
     # all-keep words fill the gaps before each word that drops something
