@@ -3,7 +3,8 @@
 Each source has a mean repetition rate, its share of the target over its share of the documents. A
 document's count inverts a Poisson distribution of that mean at a point in [0, 1) hashed from seed
 and doc_id; the document is exploded by its count, and copies go to places hashed from seed, doc_id
-and copy number, by ranges: a global shuffle which another run repeats.
+and copy number: a global shuffle which another run repeats. Places are uniform in [0, 1), so partition
+i of n takes those from i / n on, and nothing has to be sampled for ranges.
 
 Defined results: sources without a weight share the weight `other`; null is a source like others;
 a source of weight 0 disappears; an empty table gives no rows; rows with equal doc_id get equal
@@ -57,4 +58,6 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, other:
     counted = drawn.withColumn("__n", F.when(F.col("__parts") == 1, draw(F.lit(1))).otherwise(F.aggregate(F.sequence(F.lit(1), F.col("__parts").cast("int")), F.lit(0), lambda n, part: n + draw(part))))
     copies = counted.where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__c", "__n", "__parts").withColumnRenamed("__rate", "rate")
     placed = copies.withColumn("place", point(F.lit(str(seed)), F.lit("place"), key, F.col("copy").cast("string")))
-    return placed.repartitionByRange("place", "doc_id").sortWithinPartitions("place", "doc_id")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = placed.repartitionById(n, F.floor(F.col("place") * n).cast("int"))
+    return dealt.sortWithinPartitions("place", "doc_id", "copy")

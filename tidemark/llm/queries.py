@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,19 +21,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
 OP2_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q
+  SELECT vec_id, row_number() OVER () AS own, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  SELECT a.own, a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.own <> b.own WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
 """
 
@@ -69,41 +72,37 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op6_sql() -> str:
-    """Grams of the templates with their positions, hits on them, and votes by diagonal."""
+    """The base places straight from the contract; for what the method adds, the k-grams of its notices by
+    diagonal."""
     grams = []
-    for phrase, k, texts in ((True, licenses.PHRASE_K, licenses.PHRASES), (False, licenses.NOTICE_K, {t: x for x, t in licenses.NOTICES.items()})):
-        for text, label in texts.items():
-            w = licenses._words(text)
-            grams += [f"({phrase}, '{label}', '{' '.join(w)}', {i}, '{' '.join(w[i : i + k])}', {len(w) - k + 1}, {k})" for i in range(len(w) - k + 1)]
+    for label, text in licenses.NOTICES.items():
+        w = re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", text.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
+        k = licenses.NOTICE_K
+        grams += [f"('{label}', {i}, '{' '.join(w[i : i + k])}', {len(w) - k + 1})" for i in range(len(w) - k + 1)]
     return rf"""
-WITH g(phrase, label, template, tpos, gram, grams, k) AS (VALUES {", ".join(grams)}),
+WITH phrases(words, label) AS (VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')),
 w AS MATERIALIZED (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  SELECT row_number() OVER () AS own, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents),
-p AS (SELECT doc_id, w, unnest(range(len(w))) AS pos FROM w),
+p AS MATERIALIZED (SELECT own, w, unnest(range(len(w))) AS pos FROM w),
+b AS (
+  SELECT own, pos, label FROM p JOIN phrases ON w[pos + 1] = words[1] AND w[pos + 1 : pos + len(words)] = words),
+g(label, tpos, gram, grams) AS (VALUES {", ".join(grams)}),
 d AS (
-  SELECT DISTINCT doc_id, phrase, label, template, grams, tpos, pos - tpos AS diagonal
-  FROM p JOIN g ON g.gram = array_to_string(w[pos + 1 : pos + {licenses.PHRASE_K}], ' ') AND k = {licenses.PHRASE_K}
-  UNION
-  SELECT DISTINCT doc_id, phrase, label, template, grams, tpos, pos - tpos
-  FROM p JOIN g ON g.gram = array_to_string(w[pos + 1 : pos + {licenses.NOTICE_K}], ' ') AND k = {licenses.NOTICE_K}),
-n AS (
-  SELECT *, CASE WHEN phrase THEN diagonal <> coalesce(lag(diagonal) OVER o, diagonal - 1)
-    ELSE diagonal - coalesce(lag(diagonal) OVER o, diagonal - {licenses.NEAR + 1}) > {licenses.NEAR} END AS new
-  FROM d WINDOW o AS (PARTITION BY doc_id, phrase, template ORDER BY diagonal, tpos)),
-q AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id, phrase, template ORDER BY diagonal, tpos) AS place FROM n),
+  SELECT DISTINCT own, label, grams, tpos, pos - tpos AS diagonal FROM p JOIN g ON gram = array_to_string(w[pos + 1 : pos + {licenses.NOTICE_K}], ' ')),
+q AS (
+  SELECT *, sum(CASE WHEN diagonal - before <= {licenses.NEAR} THEN 0 ELSE 1 END) OVER (PARTITION BY own, label ORDER BY diagonal, tpos) AS place
+  FROM (SELECT *, lag(diagonal) OVER (PARTITION BY own, label ORDER BY diagonal, tpos) AS before FROM d)),
 v AS (
-  SELECT doc_id, phrase, label, grams, min(diagonal) AS start, count(DISTINCT tpos) AS votes
-  FROM q GROUP BY doc_id, phrase, label, template, grams, place),
-b AS (SELECT *, phrase AND votes = grams AS base, phrase AND votes = grams OR NOT phrase AND votes >= {licenses.SHARE} * grams AS good FROM v),
+  SELECT own, label, CAST(count(DISTINCT tpos) AS DOUBLE) / grams AS share FROM q GROUP BY own, label, grams, place HAVING count(DISTINCT tpos) >= {licenses.SHARE} * grams),
 a AS (
-  SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,
-    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE good) AS labels,
-    max(CAST(votes AS DOUBLE) / grams) FILTER (WHERE good) AS score
-  FROM b GROUP BY doc_id)
-SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  SELECT own, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY own),
+l AS (
+  SELECT own, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM (SELECT own, label, 1.0 AS share FROM b UNION ALL SELECT own, label, share FROM v) GROUP BY own)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
-FROM w LEFT JOIN a ON a.doc_id IS NOT DISTINCT FROM w.doc_id
+FROM w LEFT JOIN a USING (own) LEFT JOIN l USING (own)
 """
 
 
@@ -112,7 +111,7 @@ OP6_SQL = _op6_sql()
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = cut(mixing.mix(table(spark, sf_dir, "documents")))  # whole documents, texts too
-    return mixed.select("doc_id", "source", "n_chars", "copy", F.round("place", 9).alias("place"))
+    return mixed.select("doc_id", "source", "n_chars", "copy", F.round("place", 9).alias("place"), F.md5("text").alias("text_md5"))
 
 
 OP7_SQL = r"""
@@ -124,16 +123,16 @@ c AS (
   UNION ALL
   SELECT source, k + 1, p * rate / (k + 1), c + p * rate / (k + 1), rate FROM c WHERE k < 60),
 u AS (
-  SELECT doc_id, source, n_chars,
-    CAST('0x' || substr(md5('17:1:' || doc_id), 1, 12) AS BIGINT) / 281474976710656.0 AS u
+  SELECT doc_id, source, n_chars, md5(text) AS text_md5,
+    CAST('0x' || substr(md5('17:1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) / 281474976710656.0 AS u
   FROM documents),
 n AS (
-  SELECT u.doc_id, u.source, u.n_chars, count(c.c) AS n
-  FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source AND c.c <= u.u
-  GROUP BY u.doc_id, u.source, u.n_chars)
-SELECT doc_id, source, n_chars, copy,
-  round(CAST('0x' || substr(md5('17:place:' || doc_id || ':' || copy), 1, 12) AS BIGINT) / 281474976710656.0, 9) AS place
-FROM (SELECT doc_id, source, n_chars, CAST(unnest(range(n)) AS INTEGER) AS copy FROM n)
+  SELECT u.doc_id, u.source, u.n_chars, u.text_md5, count(c.c) AS n
+  FROM (SELECT *, row_number() OVER () AS own FROM u) u JOIN c ON u.source IS NOT DISTINCT FROM c.source AND c.c <= u.u
+  GROUP BY u.own, u.doc_id, u.source, u.n_chars, u.text_md5)
+SELECT doc_id, source, n_chars, copy, text_md5,
+  round(CAST('0x' || substr(md5('17:place:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || copy), 1, 12) AS BIGINT) / 281474976710656.0, 9) AS place
+FROM (SELECT doc_id, source, n_chars, text_md5, CAST(unnest(range(n)) AS INTEGER) AS copy FROM n)
 """
 
 
