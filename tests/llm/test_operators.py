@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import chat, hnsw, language_id, licenses, line_dedup, minhash, mixing, packing, topk, vector_dedup
 from tidemark.llm.components import connected_components
@@ -224,7 +225,7 @@ def test_mixing_query_mixes_texts(spark, tmp_path, monkeypatch):
     made = []
     monkeypatch.setattr(queries, "cut", lambda df: made.append(common.cut(df)) or made[-1], raising=False)
     out = queries.op7_mixing(spark, str(tmp_path))
-    assert out.columns == ["doc_id", "source", "n_chars", "copy", "place"]
+    assert out.columns == ["doc_id", "source", "n_chars", "copy", "place", "text_md5"]
     assert len(made) == 1, "the whole mixed table is made, not its small columns alone"
     mixed = made[0].collect()
     assert {"text", "lang"} <= set(made[0].columns) and all(r.text == f"text {r.doc_id}" for r in mixed)
@@ -259,12 +260,12 @@ def test_topk(spark):
     good = {i: np.floor(256 * np.array(v)).astype(int) for i, v, _ in rows if v and all(x is not None and np.isfinite(x) for x in v)}
     old, topk.BLOCK, topk.BUCKET, topk.FIRST = (topk.BLOCK, topk.BUCKET, topk.FIRST), 64, 16, 8
     try:
-        got = topk.top_k(df, df.where("vec_id % 50 = 0")).collect()
+        got = topk.top_k(df, F.col("vec_id") % 50 == 0).collect()
     finally:
         topk.BLOCK, topk.BUCKET, topk.FIRST = old
     want = [(q, r + 1, i, s) for q in good if q % 50 == 0 for r, (s, i) in enumerate(sorted(((int(good[q] @ v), i) for i, v in good.items() if i != q), key=lambda x: (-x[0], x[1]))[:5])]
     assert sorted(map(tuple, got)) == sorted(want)
-    assert topk.top_k(df.limit(0), df).count() == 0
+    assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
 def test_vector_dedup(spark):

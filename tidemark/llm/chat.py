@@ -96,43 +96,54 @@ def _emit(keys: pa.Array, group: np.ndarray, roles: pa.Array, texts: pa.Array) -
     return pa.record_batch({"conv_id": keys.take(pa.array(first)), "formatted": formatted, "n_turns": pa.array(turns, pa.int64()), "loss_spans": pa.array(spans, pa.list_(pa.int64()))})
 
 
-def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(b)
-        size += b.nbytes
-        if size < GATHER:
-            continue
-        t = pa.Table.from_batches(held).combine_chunks()
-        keys = t.column("conv_id").combine_chunks()
-        last = keys[len(keys) - 1]
-        # sorted, null first: the last conversation may go on in the next batch
-        before = pc.index(keys, last).as_py() if last.is_valid else 0
-        if before:
-            yield _parts(t.slice(0, before))
-        rest = t.slice(before)
-        held, size = rest.to_batches(), 0 if before else size
-    if held:
-        yield _parts(pa.Table.from_batches(held))
+def _format(gather: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = ends = 0  # bytes held; rows held before the last conversation, which may go on
+        rows = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column("conv_id")
+            change = _changes(keys)
+            at = int(change[-1]) if len(change) else 0
+            if held and not at and not keys[0].equals(held[-1].column("conv_id")[held[-1].num_rows - 1]):
+                ends = rows
+            elif at:
+                ends = rows + at
+            held.append(b)
+            rows, size = rows + b.num_rows, size + b.nbytes
+            if size >= gather and ends:
+                t = pa.Table.from_batches(held)
+                yield _parts(t.slice(0, ends))
+                held = t.slice(ends).to_batches()
+                rows, size, ends = rows - ends, sum(x.nbytes for x in held), 0
+        if held:
+            yield _parts(pa.Table.from_batches(held))
+
+    return run
+
+
+def _changes(keys: pa.Array) -> np.ndarray:
+    """Rows whose key is not that of the row before."""
+    ids = pc.fill_null(keys, 0).to_numpy(zero_copy_only=False)
+    valid = pc.is_valid(keys).to_numpy(zero_copy_only=False)
+    return np.flatnonzero((ids[1:] != ids[:-1]) | (valid[1:] != valid[:-1])) + 1
 
 
 def _parts(t: pa.Table) -> pa.RecordBatch:
     t = t.combine_chunks()
     keys, roles, texts = (t.column(c).combine_chunks() for c in ("conv_id", "role", "text"))
-    ids = pc.fill_null(keys, 0).to_numpy(zero_copy_only=False)
-    valid = pc.is_valid(keys).to_numpy(zero_copy_only=False)
-    change = np.r_[True, (ids[1:] != ids[:-1]) | (valid[1:] != valid[:-1])]
+    change = np.zeros(len(keys), np.int64)
+    change[_changes(keys)] = 1
     return _emit(keys, np.cumsum(change), roles, texts)
 
 
-def format_chats(turns: DataFrame) -> DataFrame:
+def format_chats(turns: DataFrame, gather: int = GATHER) -> DataFrame:
     """conv_id, formatted, n_turns, loss_spans (code points, start and end of each scored text)."""
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return ordered.mapInArrow(_format, SCHEMA)
+    return ordered.mapInArrow(_format(gather), SCHEMA)
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
