@@ -5,7 +5,7 @@ rows, broadcast to the executors. A batch of texts is scored in numpy: n-grams o
 hashed at once and the log probabilities of those that occur are summed per text.
 
 Defined results: a text that is null or has no letter gives ``und`` with score 0, as does any text
-when there is nothing to learn from. Texts of one letter are scored like others. Equal scores go to
+when there is nothing to learn from; an empty table gives no rows. Texts of one letter are scored like others. Equal scores go to
 the language that sorts first. Repeated rows are scored each. Other columns pass through.
 """
 
@@ -22,13 +22,16 @@ from pyspark.sql import types as T
 
 #: Rows of the matrix are 2 ** BITS; the n-gram lengths.
 BITS, ORDERS = 15, (2, 3)
-#: At most about this many labelled texts of each language are learned from (all languages together
-#: at most LANGS times that); drawn by a hash of doc_id.
-SAMPLE_PER_LANGUAGE, LANGS = 3000, 400
+#: At most about this many labelled texts of each language are learned from, drawn by a hash of doc_id.
+SAMPLE_PER_LANGUAGE = 3000
+#: Bytes that a model may have to be broadcast; more languages than fit are an error, none is left out.
+MODEL_BYTES = 256 << 20
 #: Code points handled at once; longer texts are cut into windows that overlap by one n-gram.
 STEP = 1 << 19
 #: The score is a posterior in which a text's n-grams count as this many at most.
 EVIDENCE = 60
+#: Rows whose texts are Python strings at once.
+ROWS = 1000
 LETTER = regex.compile(r"\p{L}")
 _LUT: list[np.ndarray] = []
 
@@ -87,7 +90,7 @@ def _buckets(group: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, list
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
-    for b in batches:
+    for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
         langs = b.column("lang").to_pylist()
         texts = b.column("text").to_pylist()
         for lang in sorted(set(langs)):
@@ -110,13 +113,16 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple
     labelled: doc_id, text, lang; rows with null text or lang are left out."""
     spark = labelled.sparkSession
     rows = labelled.select(F.col("doc_id"), F.col("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    found = labelled.where("text is not null and lang is not null").groupBy(F.col("lang").cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
+    most = MODEL_BYTES // (8 << BITS)
+    found = rows.groupBy("lang").count().orderBy("lang").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"over {most} languages: their model would be too large to broadcast")
     sizes = {r["lang"]: r["count"] for r in found}
     if not sizes:
         return [], np.zeros((1, 0))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
     drawn = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20)
-    sample = rows.where(F.col("lang").isin(list(sizes)) & drawn).select("text", "lang").repartition(8)
+    sample = rows.where(drawn).select("text", "lang").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     counts = sample.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(sizes)
     m = np.zeros((1 << BITS, len(langs)))
@@ -150,6 +156,11 @@ def score(texts: list[str | None], langs: list[str], matrix: np.ndarray) -> tupl
     return picked, scores
 
 
+def chance(model: tuple[list[str], np.ndarray]) -> float:
+    """The score of a text that fits all of the model's languages alike, were these as frequent."""
+    return 1 / max(1, len(model[0]))
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str] | None = None) -> DataFrame:
     """Columns keep of docs (all by default), with lang_pred and score; columns of docs so named are replaced."""
     spark = docs.sparkSession
@@ -159,7 +170,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, matrix = held.value
-        for b in batches:
+        for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             picked, scores = score(b.column("text").to_pylist(), langs, matrix)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(picked, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
