@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +53,13 @@ def drop(*dfs: DataFrame) -> None:
             where.getFileSystem(conf).delete(where, True)
 
 
+def trim() -> None:
+    """Gives a Python worker's free memory back, as idle workers keep theirs while others run."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such function
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased and nothing else; lower() is the fast equal of it on text that is all ASCII."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -2,28 +2,27 @@
 
 Documents are put in an order of content and read in shards of consecutive rows of it, of a bounded
 number of tokens. Each shard has a BM25 inverted index over its token ids, with the frequencies and
-the mean length of all documents. Neighbours are sought in the seed's shard only. A window starts with a seed, the next unused
-document, and takes the seed's best-scoring unused neighbours until it is full; the document that
-overflows is cut, and its rest is the next window's seed. Where a seed has no neighbour left, the
-next unused document follows. What is left at a shard's end is cut at powers of two, which need no
+the mean length of all documents. Neighbours are sought in the seed's shard only. A window starts with
+a seed, the next unused document, and takes the seed's best-scoring unused neighbours until it is full;
+the document that overflows is cut, and its rest is the next window's seed. Where a seed has no
+neighbour left, the next unused document follows. What is left at a shard's end is cut at powers of two, which need no
 padding, so no sequence is padded at all.
 
 The order: documents are projected to a few dimensions by their weighted terms, and sorted by the
 nearest of some sampled centres, the second and the third; doc_id and row split a hot group.
 
-Defined results: null or empty text is its end id alone; repeated rows are packed each; equal scores
-go to the earlier row; an empty table gives no rows; null doc_id is passed on. Other columns are not
-read.
+Defined results: null or empty text is its end id alone; repeated rows are packed each, and pieces of a
+row have its number in row; equal scores go to the earlier row; an empty table gives no rows; null
+doc_id is passed on. Other columns are not read. Words are encoded once each where the tokenizer is
+found to encode probes so; else whole texts are.
 """
 
 from __future__ import annotations
 
 import functools
-import json
 import os
 import zlib
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -31,21 +30,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, trim
 
 WINDOW, END_ID = 4096, 2
 #: Tokens of a shard, or one document more; neighbours asked for at once; BM25's parameters.
 SHARD_TOKENS, NEXT, K1, B = 1_000_000, 64, 1.2, 0.75
-#: Documents that centres are learned from, and centres at most; dimensions; bins of terms; shards of a partition.
-SAMPLE, CENTRES, DIMENSIONS, BINS, SHARDS = 4000, 256, 256, 1 << 16, 4
-#: Words learned by a worker before those not seen since are dropped; characters of texts that are
-#: encoded together.
-CACHED, GROUP_CHARS = 150_000, 4 << 20
+#: Documents that centres are learned from, and centres at most; dimensions; shards of a partition.
+SAMPLE, CENTRES, DIMENSIONS, SHARDS = 4000, 256, 96, 4
+#: Bytes of words and ids that a worker learns, each counted as so many more, before those not seen
+#: since are dropped; characters of texts that are encoded together.
+CACHED, ENTRY, GROUP_CHARS = 24 << 20, 150, 2 << 20
 LETTERS = bytes([*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)])
 SIMPLE = LETTERS + bytes([*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]) + b"0123456789 \n.,"
 SMALL = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
 TOKENIZER = "word_bpe_49k.json"
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row long"
+PROBES = ("The cat's hats. A B c, d.e,f .5 3.5 x1", "\u00c9\u00df \u00ff. S\u00e3o\n\nab\u00aa x\u00a0y\tz", "\u0141\u00c9. \u4e00\u4e8c e\u0301 \U0001f600", "<|endoftext|> a_b--c (d) 'll", " ", "")
 _HELD: dict[str, tuple] = {}
 
 
@@ -60,20 +60,30 @@ def _tokenizer(path: str | None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
-        full, bare = Tokenizer.from_file(path), json.loads(Path(path).read_text("utf-8"))
-        bare = Tokenizer.from_str(json.dumps(bare | {"normalizer": None, "added_tokens": []}))
+        full, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        bare.normalizer = None
         bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        ends = np.zeros(max(full.get_vocab().values()) + 1, bool)
-        ends[[i for t, i in full.get_vocab().items() if t.endswith("</w>")]] = True
-        _HELD[path] = (full, bare, ends, [{}, {}])
+        vocabulary = full.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        _HELD[path] = (full, bare, ends, [{}, {}, 0, True])
+        try:
+            by_word = encode(list(PROBES), path)
+        except (KeyError, ValueError):
+            by_word = []
+        _HELD[path] = (full, bare, ends, [{}, {}, 0, by_word == _whole(list(PROBES), full)])
     return _HELD[path]
 
 
+def _whole(texts: list[str], full) -> list[bytes]:
+    return [np.array(e.ids, "<u4").tobytes() for e in full.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def _learn(new: set, into: dict, path: str | None) -> None:
     """Adds the ids of words to into. Lower-case letters are one piece for the tokenizer, so a run of
     such words is encoded at once and told apart by word ends."""
     full, bare, ends, _ = _tokenizer(path)
-    plain = [w for w in new if type(w) is bytes and w.isalpha() or type(w) is bytes and w and not w.translate(None, LETTERS)]
+    plain = [w for w in new if type(w) is bytes and w and (w.isalpha() or not w.translate(None, LETTERS))]
     other = list(new.difference(plain))
     for at in range(0, len(plain), 5000):
         some = plain[at : at + 5000]
@@ -109,23 +119,27 @@ def _words(text: str) -> list:
 
 def encode(texts: list[str | None], path: str | None = None) -> list[bytes]:
     """Ids of each text without special tokens, as little-endian 32-bit."""
-    held = _tokenizer(path)[-1]
+    full, _, _, held = _tokenizer(path)
     out: list[bytes] = []
     at = 0
     while at < len(texts):
         group, size = [], 0
         while at < len(texts) and size < GROUP_CHARS:
-            group.append(_words(texts[at] or ""))
+            group.append(_words(texts[at] or "") if held[3] else texts[at] or "")
             size += len(texts[at] or "")
             at += 1
-        if len(held[0]) > CACHED:
-            held[:] = {}, held[0]
-        known, before = held
+        if not held[3]:
+            out += _whole(group, full)
+            continue
+        if held[2] > CACHED:
+            held[:3] = {}, held[0], 0
+        known, before = held[:2]
         words = set().union(*group).difference(known)
         again = words.intersection(before)
         known.update(zip(again, map(before.__getitem__, again)))
         if new := words - again:
             _learn(new, known, path)
+        held[2] += sum(len(w) + len(known[w]) + ENTRY for w in words)
         out += [b"".join(map(known.__getitem__, words)) for words in group]
     return out
 
@@ -133,29 +147,29 @@ def encode(texts: list[str | None], path: str | None = None) -> list[bytes]:
 def _ids(texts: pa.Array, path: str | None) -> Iterator[np.ndarray]:
     """Each text's ids and the end id; some texts at a time, as their ids are held."""
     end = np.array([END_ID], "<u4").tobytes()
-    for at in range(0, len(texts), 2000):
-        for x in encode(texts[at : at + 2000].to_pylist(), path):
+    for at in range(0, len(texts), 500):
+        for x in encode(texts[at : at + 500].to_pylist(), path):
             yield np.frombuffer(x + end, "<u4")
 
 
 def _counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bins of a document's terms but for the end, and the weights of their counts."""
-    terms, tf = np.unique(ids[:-1] % BINS, return_counts=True)
+    """A document's terms but for the end, and the weights of their counts."""
+    terms, tf = np.unique(ids[:-1], return_counts=True)
     return terms, np.log1p(tf).astype("f4")
 
 
-@functools.cache
-def _axes() -> np.ndarray:
-    return np.random.default_rng(0).standard_normal((BINS, DIMENSIONS), "f4")
+@functools.lru_cache(1)
+def _axes(terms: int) -> np.ndarray:
+    return np.random.default_rng(0).standard_normal((terms, DIMENSIONS), "f4")
 
 
 class Order:
     """A document's place by content: its nearest centres."""
 
-    def __init__(self, sample: list[tuple[np.ndarray, np.ndarray]], tokens: int, shard: int):
-        df = np.zeros(BINS)
-        for terms, _ in sample:
-            df[terms] += 1
+    def __init__(self, sample: list[tuple[np.ndarray, np.ndarray]], tokens: int, shard: int, terms: int):
+        df = np.zeros(terms)
+        for some, _ in sample:
+            df[some] += 1
         self.idf = np.log1p((len(sample) - df + 0.5) / (df + 0.5)).astype("f4")
         x = np.array([self.project(*s) for s in sample], "f4").reshape(-1, DIMENSIONS)
         k = min(CENTRES, len(x), max(1, 2 * tokens // shard))
@@ -171,11 +185,11 @@ class Order:
         self.centres = c[chain]
 
     def project(self, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        x = (weight * self.idf[terms]) @ _axes()[terms]
+        x = (weight * self.idf[terms]) @ _axes(len(self.idf))[terms]
         return x / max(1e-9, float(np.sqrt(x @ x)))
 
-    def key(self, ids: np.ndarray) -> int:
-        near = np.argsort(-(self.centres @ self.project(*_counts(ids))), kind="stable")[:3].tolist()
+    def key(self, terms: np.ndarray, weight: np.ndarray) -> int:
+        near = np.argsort(-(self.centres @ self.project(terms, weight)), kind="stable")[:3].tolist()
         return sum(c * CENTRES ** (2 - i) for i, c in enumerate(near))
 
 
@@ -199,7 +213,7 @@ class Index:
         shared = (df[terms] > 1) & (terms != END_ID)  # a term of one document finds no other
         docs, terms, weight = docs[shared], terms[shared], weight[shared]
         by = np.argsort(terms, kind="stable")
-        self.post_docs, self.post_weight = docs[by], weight[by]
+        self.post_docs, self.post_weight = docs[by].astype(np.int32), weight[by].astype(np.float32)
         self.post_at = np.searchsorted(terms[by], np.arange(size + 1))
         self.terms = terms
         self.at = np.searchsorted(docs, np.arange(n + 1))
@@ -289,16 +303,16 @@ def fill(ids: list[np.ndarray], window: int = WINDOW, of: tuple[int, float, np.n
 
 
 def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the
-    piece's ids if asked for. tokenizer: a file's path, by default that of the public tokenizers."""
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, the number of
+    its row, and the piece's ids if asked for. tokenizer: a file's path, by default that of the public tokenizers."""
 
-    def shard(keys: list, ids: list[np.ndarray], sequence: int) -> tuple[pa.RecordBatch, int]:
+    def shard(keys: list, numbers: list, ids: list[np.ndarray], sequence: int) -> tuple[pa.RecordBatch, int]:
         rows, pieces = [], []
         for w in fill(ids, window, of):
             offset = 0
             for doc, at, length in w:
                 piece = ids[doc][at : at + length].tobytes()
-                rows.append((keys[doc], at, length, zlib.crc32(piece), len(ids[doc]), sequence, offset))
+                rows.append((keys[doc], at, length, zlib.crc32(piece), len(ids[doc]), sequence, offset, numbers[doc]))
                 if with_ids:
                     pieces.append(np.frombuffer(piece, "<u4").astype(np.int32))
                 offset += length
@@ -311,18 +325,20 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, wi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 40
-        keys, ids, size = [], [], 0
+        keys, numbers, ids, size = [], [], [], 0
         for b in batches:
-            for key, x in zip(b.column("doc_id").to_pylist(), b.column("ids")):
+            for key, row, x in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), b.column("ids")):
                 keys.append(key)
+                numbers.append(row)
                 ids.append(np.frombuffer(x.as_py(), "<u4"))
                 size += len(ids[-1])
                 if size >= SHARD_TOKENS:
-                    out, sequence = shard(keys, ids, sequence)
+                    out, sequence = shard(keys, numbers, ids, sequence)
                     yield out
-                    keys, ids, size = [], [], 0
+                    keys, numbers, ids, size = [], [], [], 0
         if ids:
-            yield shard(keys, ids, sequence)[0]
+            yield shard(keys, numbers, ids, sequence)[0]
+        trim()
 
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     n = docs.count()
@@ -334,40 +350,46 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, wi
 
     some = docs.sample(min(1.0, SAMPLE / max(1, n)), 0).mapInArrow(count_some, "size long, terms binary, weights binary").collect()
     tokens = sum(r["size"] for r in some) * n // max(1, len(some))
-    order = Order([(np.frombuffer(r["terms"], "<i4"), np.frombuffer(r["weights"], "<f4")) for r in some], tokens, SHARD_TOKENS)
+    size = len(_tokenizer(tokenizer)[2])
+    order = Order([(np.frombuffer(r["terms"], "<i4"), np.frombuffer(r["weights"], "<f4")) for r in some], tokens, SHARD_TOKENS, size)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents with their places; at a partition's end how often its terms are in documents, of place -1."""
         row = TaskContext.get().partitionId() << 40
+        df, length = np.zeros(size, np.int64), 0
         for b in batches:
             at = 0
             ids, places = [], []
             for x in _ids(b.column("text"), tokenizer):
+                terms, weight = _counts(x)
                 ids.append(x.tobytes())
-                places.append(order.key(x))
-                if len(ids) == 2000 or at + len(ids) == b.num_rows:
+                places.append(order.key(terms, weight))
+                df[terms] += 1
+                length += len(x)
+                if len(ids) == 1000 or at + len(ids) == b.num_rows:
                     yield pa.record_batch({"doc_id": b.column("doc_id").slice(at, len(ids)), "place": pa.array(places, pa.int64()), "row": pa.array(range(row, row + len(ids)), pa.int64()), "ids": pa.array(ids, pa.binary())})
                     at, row = at + len(ids), row + len(ids)
                     ids, places = [], []
+        yield pa.record_batch({"doc_id": pa.array([None], pa.int64()), "place": pa.array([-1], pa.int64()), "row": pa.array([length], pa.int64()), "ids": pa.array([df.astype("<i4").tobytes()], pa.binary())})
+        trim()
 
     encoded = cut(docs.mapInArrow(keyed, "doc_id long, place long, row long, ids binary"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, length = np.zeros(1, np.int64), 0
+        df, length = np.zeros(size, np.int64), 0
         for b in batches:
-            for x in b.column("ids"):
-                x = np.unique(np.frombuffer(x.as_py(), "<u4")), len(x.as_py()) // 4
-                terms, length = x[0], length + x[1]
-                if terms[-1] >= len(df):
-                    df = np.append(df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64))
-                df[terms] += 1
+            for row, x in zip(b.column("row").to_pylist(), b.column("ids")):
+                df += np.frombuffer(x.as_py(), "<i4")
+                length += row
         at = np.flatnonzero(df)
         yield pa.record_batch({"term": pa.array(np.append(at, -1)), "n": pa.array(np.append(df[at], length))})
 
-    sums = dict(map(tuple, encoded.select("ids").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n")).collect()))
+    # one row for each term of the vocabulary
+    sums = dict(map(tuple, encoded.where("place < 0").select("row", "ids").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n")).collect()))
     length = sums.pop(-1, 0)
-    df = np.zeros(max(sums, default=0) + 1, np.int64)
+    df = np.zeros(size, np.int64)
     df[list(sums)] = list(sums.values())
     of = n, length / max(1, n), df
     parts = max(1, -(-length // (SHARDS * SHARD_TOKENS)))
-    placed = encoded.repartitionByRange(parts, "place", "doc_id", "row").sortWithinPartitions("place", "doc_id", "row").select("doc_id", "ids")
+    placed = encoded.where("place >= 0").repartitionByRange(parts, "place", "doc_id", "row").sortWithinPartitions("place", "doc_id", "row").select("doc_id", "row", "ids")
     return placed.mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
