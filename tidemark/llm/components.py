@@ -18,13 +18,13 @@ def _print(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) for all nodes of edges u, v (long); loops and repeats do no
-    harm, nodes with no edge to another have no row."""
+    harm, nodes with no edge to another have no row. drop() deletes the table behind the result."""
     pair = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
     now = cut(edges.where("u <> v").select(*pair).distinct())
     seen = _print(now)
-    for _ in range(most_rounds):
+    while True:  # a logarithm's square of rounds in the number of nodes at most
         both = now.union(now.select("v", "u"))
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
@@ -34,6 +34,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         now, before, seen = small, seen, _print(small)
         if seen == before:
             break
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+    out._tidemark_path = now._tidemark_path
+    return out

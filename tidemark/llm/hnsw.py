@@ -10,7 +10,10 @@ import numpy as np
 
 #: Neighbours of a node above the ground layer (twice that on it), beam while building, nodes of a
 #: batch, nodes that a query expands at once.
-M, EF_BUILD, BATCH, STEP = 8, 24, 256, 3
+M, EF_BUILD, BATCH, STEP = 12, 32, 256, 3
+#: Nodes that a search for themselves does not find get links from this many of what it finds; beam of
+#: that search, and rounds of it.
+LINKED, EF_SELF, ROUNDS = 4, 24, 4
 
 
 class Graph:
@@ -27,6 +30,27 @@ class Graph:
             to = min(n, at + max(16, min(BATCH, at)))
             self._insert(np.arange(at, to))
             at = to
+        if n:
+            self._give_links()
+
+    def _give_links(self) -> None:
+        """Links from where a search for a node ends to the node, where it is not found: groups of like
+        vectors choose each other, and may be left without a link from elsewhere."""
+        lost = np.arange(len(self.x))
+        for _ in range(ROUNDS):
+            ids, _ = self.search(self.x[lost], EF_SELF)
+            away = ~(ids == lost[:, None]).any(1)
+            lost, ids = lost[away], ids[away, :LINKED]
+            if not len(lost):
+                break
+            row, col = np.nonzero(ids >= 0)
+            source, target = ids[row, col], lost[row]
+            order = np.argsort(source, kind="stable")
+            source, target = source[order], target[order]
+            _, first, count = np.unique(source, return_index=True, return_counts=True)
+            more = np.full((len(self.x), int(count.max())), -1, np.int32)
+            more[source, np.arange(len(source)) - np.repeat(first, count)] = target
+            self.layers[0] = np.concatenate([self.layers[0], more], 1)
 
     def search(self, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and products of the nodes in each query's last beam; ids -1 where it is not full."""
