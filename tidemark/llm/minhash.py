@@ -24,18 +24,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop
+from .common import cut, drop, trim
 from .components import connected_components
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS, SEED = 28, 5, 11
 #: Signatures of pairs at the similarity agree in less than it minus this once in some 60,000 pairs.
 MARGIN = 0.14
-#: Classes of a block where a bucket's classes are compared with each other.
-BLOCK = 1024
+#: Classes, and bytes of their sets, of a block where a bucket's classes are compared with each other.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 #: Bytes of text hashed at once.
 GROUP = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -61,8 +61,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _TABLES["p"], _TABLES["inverse"]
 
 
-def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and first bytes of the words of data, from differences of one running sum."""
+def _words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of data: sums of their bytes' hashes by place in the word, first bytes and lengths."""
     p, inverse = _powers(max(len(data), 1 << 16))
     d = np.frombuffer(data, np.uint8)
     space = np.ones(len(d) + 2, bool)
@@ -71,19 +71,34 @@ def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = np.flatnonzero(step == -1), np.flatnonzero(step == 1)
     sums = np.zeros(len(d) + 1, np.uint64)
     np.cumsum(_TABLES["byte"][d] * p[: len(d)], out=sums[1:])
-    return _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts
+    return (sums[ends] - sums[starts]) * inverse[starts], starts, ends - starts
 
 
-def _pieces(data: bytes) -> Iterator[bytes]:
-    """A long text cut at white space."""
-    at = 0
-    while len(data) - at > 2 * GROUP:
-        to = at + GROUP
-        while to < len(data) and data[to] not in b" \t\n\x0b\x0c\r":
-            to += 1
-        yield data[at:to]
-        at = to
-    yield data[at:]
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first bytes of the words of data, from differences of one running sum."""
+    sums, starts, lengths = _words_of(data)
+    return _mix(sums + lengths.astype(np.uint64)), starts
+
+
+def _long_hashes(data: bytes) -> np.ndarray:
+    """Hashes of the words of a long text, some bytes at a time; a word may go on over any number of them."""
+    out, carried, length = [], 0, 0  # what there is of a word that goes on
+    for at in range(0, len(data), GROUP):
+        chunk = data[at : at + GROUP]
+        sums, starts, lengths = _words_of(chunk)
+        lengths = lengths.astype(np.uint64)
+        if length:
+            if len(starts) and starts[0] == 0:
+                sums[0] = np.uint64((carried + pow(_BASE, length, 1 << 64) * int(sums[0])) & (1 << 64) - 1)
+                lengths[0] += np.uint64(length)
+            else:
+                sums, lengths = np.r_[np.uint64(carried), sums], np.r_[np.uint64(length), lengths]
+            carried = length = 0
+        if at + GROUP < len(data) and chunk[-1] not in b" \t\n\x0b\x0c\r":
+            carried, length = int(sums[-1]), int(lengths[-1])
+            sums, lengths = sums[:-1], lengths[:-1]
+        out.append(_mix(sums + lengths))
+    return np.concatenate(out)
 
 
 def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
@@ -104,7 +119,7 @@ def _sets(group: list[bytes], k: int) -> Iterator[np.ndarray]:
     if not group:
         return
     if max(map(len, group)) > 2 * GROUP:
-        words = [np.concatenate([_word_hashes(x)[0] for x in _pieces(d)]) for d in group]
+        words = [_long_hashes(d) if d else np.zeros(0, np.uint64) for d in group]
         counts = np.array([len(w) for w in words])
         words = np.concatenate(words)
     else:
@@ -113,7 +128,8 @@ def _sets(group: list[bytes], k: int) -> Iterator[np.ndarray]:
         counts = np.diff(np.searchsorted(starts, bounds))
     shingles = words.copy()
     for i in range(1, k):
-        shingles[: len(words) - i] = _mix(shingles[: len(words) - i] * np.uint64(0xD6E8FEB86659FD93) + words[i:])
+        n = max(0, len(words) - i)
+        shingles[:n] = _mix(shingles[:n] * np.uint64(0xD6E8FEB86659FD93) + words[i:])
     at = 0
     for n in counts.tolist():
         if n >= k:
@@ -155,8 +171,8 @@ def minima(sets: list[np.ndarray], hashes: int) -> np.ndarray:
 def _sign(k: int, hashes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
                 sets = list(shingle_sets(part.column("text").to_pylist(), k))
                 some = [s for s in sets if len(s)]
                 signed = iter(minima(some, hashes))
@@ -165,6 +181,7 @@ def _sign(k: int, hashes: int):
                     "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     "sig": pa.array([next(signed).tobytes() if len(s) else None for s in sets], pa.binary()),
                 })
+        trim()
 
     return run
 
@@ -262,8 +279,8 @@ def _across(least: float, hashes: int, percent: int):
 class NearDedup:
     """The steps over one set of documents."""
 
-    def __init__(self, docs: DataFrame, words: int, similarity: float, bands: int, rows: int):
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("d"), "text").where("d is not null")
+    def __init__(self, docs: DataFrame, words: int, similarity: float, bands: int, rows: int, key: Column):
+        self.docs = docs.select(key.cast("long").alias("d"), "text").where("d is not null")
         self.words, self.percent, self.bands, self.rows = words, round(100 * similarity), bands, rows
         self.hashes, self.least = bands * rows, similarity - MARGIN
 
@@ -292,10 +309,10 @@ class NearDedup:
         return member, reps
 
     def buckets(self, reps: DataFrame) -> DataFrame:
-        """key, rep of classes that share a band with another, and the bucket's size and leader."""
+        """key, rep, n of classes that share a band with another, and the bucket's size and leader."""
         width = 4 * self.rows
         band = F.transform(F.sequence(F.lit(0), F.lit(self.bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width))))
-        keyed = reps.select("rep", F.explode(band).alias("key"))
+        keyed = reps.select("rep", "n", F.explode(band).alias("key"))
         sizes = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
         shared = cut(keyed.join(sizes, "key"))
         weight = cut(shared.groupBy("rep").agg(F.sum("size").alias("weight")))
@@ -309,18 +326,23 @@ class NearDedup:
         """Links across components of buckets that still have several; None if none has. Of buckets with
         the same classes, one is looked at."""
         comps = cut(connected_components(links.toDF("u", "v")))
-        of = cut(buckets.where("size > 2").join(comps.toDF("rep", "comp"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp")))
-        several = of.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("print")).where("x <> y")
-        several = cut(several.groupBy("size", "print", "x", "y").agg(F.min("key").alias("key")).select("key", "size"))
+        of = cut(buckets.where("size > 2").join(comps.toDF("rep", "comp"), "rep", "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp")))
+        several = of.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size"), F.sum(8 * F.col("n")).alias("bytes"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("print")).where("x <> y")
+        several = cut(several.groupBy("size", "bytes", "print", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")))
+        drop(comps)
         if several.isEmpty():
+            drop(of, several)
             return None
-        rows = cut(of.join(several, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")))
+        rows = cut(of.join(several, "key"))
+        drop(of, several)
         whole = self.whole(rows.select(F.col("rep").alias("d")).distinct())
-        rows = rows.join(reps.select("rep", "sig"), "rep").join(whole.toDF("rep", "whole"), "rep")
+        held, rows = rows, rows.join(reps.select("rep", "sig"), "rep").join(whole.toDF("rep", "whole"), "rep")
         # a block meets each other one under a key of the two
         rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).withColumn("side", F.when(F.col("block") == F.col("i"), 0).otherwise(1))
-        return cut(rows.select("key", "i", "j", "side", "rep", "comp", "sig", "whole").groupBy("key", "i", "j").applyInPandas(_across(self.least, self.hashes, self.percent), "a long, b long").distinct())
+        found = cut(rows.select("key", "i", "j", "side", "rep", "comp", "sig", "whole").groupBy("key", "i", "j").applyInPandas(_across(self.least, self.hashes, self.percent), "a long, b long").distinct())
+        drop(held, whole)
+        return found
 
     def links(self, reps: DataFrame) -> DataFrame:
         buckets = self.buckets(reps)
@@ -328,18 +350,30 @@ class NearDedup:
         links = self.pairs(led, reps)
         more = self.left(buckets, reps, links)
         drop(buckets)
-        return links if more is None else cut(links.union(more))
+        if more is None:
+            return links
+        both = cut(links.union(more))
+        drop(links, more)
+        return both
 
 
-def near_dedup(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """docs with n_shingles, component_id (the least doc_id reachable by links) and kept."""
+def near_dedup(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, key: Column | None = None) -> DataFrame:
+    """docs with n_shingles, component_id (the least doc_id reachable by links) and kept. key: what tells
+    documents apart, a whole number that is the same whenever it is computed; by default doc_id."""
     docs = docs.drop("n_shingles", "component_id", "kept")
-    run = NearDedup(docs, words, similarity, bands, rows)
+    key = docs["doc_id"].cast("long") if key is None else key
+    run = NearDedup(docs, words, similarity, bands, rows, key)
     member, reps = run.classes()
     links = run.links(reps)
     same = member.where("rep is not null and rep <> d").select(F.col("d").alias("u"), F.col("rep").alias("v"))
     comps = connected_components(links.toDF("u", "v").union(same))
     of = member.groupBy("d").agg(F.max("n").alias("n_shingles")).join(comps, F.col("d") == F.col("node"), "left").select("d", "n_shingles", F.coalesce("component", "d").alias("component_id"))
-    of = cut(of)
-    out = docs.join(of, docs["doc_id"].cast("long") == of["d"], "left")
-    return out.select(*[docs[c] for c in docs.columns], F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), "component_id", F.coalesce(F.col("d") == F.col("component_id"), F.lit(True)).alias("kept"))
+    of = cut(of.toDF("__d", "__n", "__c"))
+    drop(member, reps, links, comps)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn("__key", key)
+    out = keyed.where("__key is not null").join(of, F.col("__key") == F.col("__d"), "left")
+    out = out.select(*names, F.coalesce("__n", F.lit(0)).cast("long").alias("n_shingles"), F.col("__c").alias("component_id"), (F.col("__d") == F.col("__c")).alias("kept"))
+    # what has no id meets nothing
+    rest = keyed.where("__key is null").select(*names, F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return out.union(rest)
