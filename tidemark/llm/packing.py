@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,14 +36,20 @@ from .common import cut, trim
 WINDOW, END_ID = 4096, 2
 #: Tokens of a shard, or one document more; neighbours asked for at once; BM25's parameters.
 SHARD_TOKENS, NEXT, K1, B = 1_000_000, 64, 1.2, 0.75
+#: A term is in many documents of a shard if in more than one of so many.
+OFTEN = 12
 #: Documents that centres are learned from, and centres at most; dimensions; shards of a partition.
 SAMPLE, CENTRES, DIMENSIONS, SHARDS = 4000, 256, 96, 4
 #: Bytes of words and ids that a worker learns, each counted as so many more, before those not seen
 #: since are dropped; characters of texts that are encoded together.
-CACHED, ENTRY, GROUP_CHARS = 24 << 20, 150, 2 << 20
+CACHED, ENTRY, GROUP_CHARS = 48 << 20, 150, 4 << 20
 LETTERS = bytes([*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)])
 SIMPLE = LETTERS + bytes([*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]) + b"0123456789 \n.,"
 SMALL = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
+#: Runs into which the tokenizer cuts words of letters and signs, apostrophes and special tokens apart.
+SIGNS = rb"!-&(-/:-@\[-`{-~"
+MIXED = re.compile(rb"[%s\xdf-\xf6\xf8-\xffa-z]+" % SIGNS)
+RUNS = re.compile(rb"[\xdf-\xf6\xf8-\xffa-z]+|[%s]+" % SIGNS)
 TOKENIZER = "word_bpe_49k.json"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row long"
 PROBES = ("The cat's hats. A B c, d.e,f .5 3.5 x1", "\u00c9\u00df \u00ff. S\u00e3o\n\nab\u00aa x\u00a0y\tz", "\u0141\u00c9. \u4e00\u4e8c e\u0301 \U0001f600", "<|endoftext|> a_b--c (d) 'll", " ", "")
@@ -84,7 +91,11 @@ def _learn(new: set, into: dict, path: str | None) -> None:
     such words is encoded at once and told apart by word ends."""
     full, bare, ends, _ = _tokenizer(path)
     plain = [w for w in new if type(w) is bytes and w and (w.isalpha() or not w.translate(None, LETTERS))]
-    other = list(new.difference(plain))
+    mixed = {w: RUNS.findall(w) for w in new.difference(plain) if type(w) is bytes and MIXED.fullmatch(w) and b"<|" not in w}
+    mixed = {w: runs for w, runs in mixed.items() if len(runs) > 1}
+    if parts := set().union(*mixed.values()).difference(into, plain):
+        _learn(parts, into, path)
+    other = list(new.difference(plain, mixed))
     for at in range(0, len(plain), 5000):
         some = plain[at : at + 5000]
         ids = np.array(bare.encode(b" ".join(some).decode("latin-1"), add_special_tokens=False).ids, "<u4")
@@ -97,6 +108,8 @@ def _learn(new: set, into: dict, path: str | None) -> None:
         texts = [w if type(w) is str else w.decode("latin-1") for w in other]
         for w, e in zip(other, full.encode_batch_fast(texts, add_special_tokens=False)):
             into[w] = np.array(e.ids, "<u4").tobytes()
+    for w, runs in mixed.items():
+        into[w] = b"".join(map(into.__getitem__, runs))
 
 
 def _words(text: str) -> list:
@@ -147,8 +160,8 @@ def encode(texts: list[str | None], path: str | None = None) -> list[bytes]:
 def _ids(texts: pa.Array, path: str | None) -> Iterator[np.ndarray]:
     """Each text's ids and the end id; some texts at a time, as their ids are held."""
     end = np.array([END_ID], "<u4").tobytes()
-    for at in range(0, len(texts), 500):
-        for x in encode(texts[at : at + 500].to_pylist(), path):
+    for at in range(0, len(texts), 2000):
+        for x in encode(texts[at : at + 2000].to_pylist(), path):
             yield np.frombuffer(x + end, "<u4")
 
 
@@ -215,6 +228,13 @@ class Index:
         by = np.argsort(terms, kind="stable")
         self.post_docs, self.post_weight = docs[by].astype(np.int32), weight[by].astype(np.float32)
         self.post_at = np.searchsorted(terms[by], np.arange(size + 1))
+        # terms of many documents as columns of a matrix, each product of which is a seed's share of scores
+        often = np.flatnonzero(np.diff(self.post_at) * OFTEN > n)
+        self.column = np.full(size, -1)
+        self.column[often] = np.arange(len(often))
+        self.often = np.zeros((n, len(often)), np.float32)
+        many = self.column[terms] >= 0
+        self.often[docs[many], self.column[terms[many]]] = weight[many]
         self.terms = terms
         self.at = np.searchsorted(docs, np.arange(n + 1))
         self.asked, self.scores = -1, np.zeros(n)
@@ -223,11 +243,16 @@ class Index:
         """Unused documents that share a term with the seed, best first by all of its terms."""
         if seed != self.asked:
             terms = self.terms[self.at[seed] : self.at[seed + 1]]
-            spans = [slice(i, j) for i, j in zip(self.post_at[terms].tolist(), self.post_at[terms + 1].tolist())]
-            if not spans:
+            if not len(terms):
                 return np.zeros(0, np.int64)
-            self.asked = seed
-            self.scores = np.bincount(np.concatenate([self.post_docs[x] for x in spans]), np.concatenate([self.post_weight[x] for x in spans]), self.n)
+            at = self.column[terms]
+            asks = np.zeros(self.often.shape[1], np.float32)
+            asks[at[at >= 0]] = 1
+            self.asked, self.scores = seed, (self.often @ asks).astype(float)
+            rare = terms[at < 0]
+            spans = [slice(i, j) for i, j in zip(self.post_at[rare].tolist(), self.post_at[rare + 1].tolist())]
+            if spans:
+                self.scores += np.bincount(np.concatenate([self.post_docs[x] for x in spans]), np.concatenate([self.post_weight[x] for x in spans]), self.n)
         scores = self.scores
         scores[used] = 0
         found = np.flatnonzero(scores)
