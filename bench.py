@@ -27,34 +27,50 @@ VIEWS = {
     "exists": ("orders lineitem", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 40)"),
     "outer_join": ("orders lineitem", "SELECT o_orderkey, l_orderkey, l_linenumber FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey"),
 }
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+#: Columns of the tables' keys, in whose order files are; a key of each view to read one group or order by.
+ORDER = {"orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"]}
+POINT = {"join": "o_orderkey = 1000", "sum_avg": "l_suppkey = 42", "min_max": "l_suppkey = 42", "distinct": "l_partkey = 1000", "exists": "o_orderkey = 1000", "outer_join": "o_orderkey = 1000"}
+#: Shares of lineitem that a statement inserts, and the next deletes.
+SHARES = {"0.01%": 10000, "0.1%": 1000, "1%": 100, "10%": 10}
+RUNS = int(os.environ.get("BENCH_RUNS", "5"))
 
 
 def main() -> None:
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
-    spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "12g").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "12g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     times: dict[str, float] = {}
+    ratios: dict[str, dict[str, float]] = {}
+    crossover: dict[str, str] = {}
+
+    def timed(what) -> float:
+        t = time.time()
+        what()
+        return time.time() - t
+
     for name, (tables, sql) in VIEWS.items():
-        engine = ViewEngine(spark, tempfile.mkdtemp())
+        engine = ViewEngine(spark, f"file://{tempfile.mkdtemp()}")  # local mode only, see master above
         data = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").selectExpr(*_split(COLUMNS[t])) for t in tables.split()}
         for t, df in data.items():
-            engine.create_table(t, df)
+            engine.create_table(t, df, cluster_by=ORDER[t])
         engine.create_view(name, sql)
-        refreshes, changes = [], {"insert_0.1%": [], "delete_0.1%": [], "insert_10%": []}
-        for run in range(RUNS + 1):
-            t = time.time()
-            engine.refresh_view(name)
-            refreshes.append(time.time() - t)
-            lines = data["lineitem"].where(F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(1000)) == run)
-            for what, change in (("insert_0.1%", ChangeSet(inserted=lines)), ("delete_0.1%", ChangeSet(deleted=lines)), ("insert_10%", ChangeSet(inserted=data["lineitem"].where(F.pmod(F.xxhash64("l_orderkey"), F.lit(10)) == run)))):
-                t = time.time()
-                engine.apply({"lineitem": change})
-                changes[what].append(time.time() - t)
-        times[f"{name}_refresh"] = round(statistics.median(refreshes[1:]), 3)
-        times |= {f"{name}_{k}": round(statistics.median(v[1:]), 3) for k, v in changes.items()}
+        lines = data["lineitem"]
+        point = lambda: engine.read(name).where(POINT[name]).collect()
+        seen = {"refresh": [timed(lambda: engine.refresh_view(name)) for _ in range(RUNS + 1)], "read_before": [timed(point) for _ in range(RUNS + 1)], "read_after": []}
+        for share, n in SHARES.items():
+            for run in range(RUNS + 1):
+                rows = lines.where(F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(n)) == run)
+                seen.setdefault(f"insert_{share}", []).append(timed(lambda: engine.insert("lineitem", rows)))
+                if share == "0.01%":
+                    seen["read_after"].append(timed(point))
+                seen.setdefault(f"delete_{share}", []).append(timed(lambda: engine.apply({"lineitem": ChangeSet(deleted=rows)})))
+        median = {k: statistics.median(v[1:]) for k, v in seen.items()}
+        times |= {f"{name}_{k}": round(v, 3) for k, v in median.items()}
+        ratios[name] = {k: round(median["refresh"] / v, 2) for k, v in median.items() if k.startswith(("insert", "delete"))}
+        slower = [s for s in SHARES if median[f"insert_{s}"] > median["refresh"]]
+        crossover[name] = slower[0] if slower else "over 10%"
     total = round(sum(times.values()), 3)
-    print(json.dumps({"metric": "seconds of refreshes and maintained changes, medians", "value": total, "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir).removeprefix("sf")}))
+    print(json.dumps({"metric": "seconds of refreshes, maintained changes and point reads, medians", "value": total, "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir).removeprefix("sf"), "runs": RUNS, "cores": int(cpus), "refresh_over_maintenance": ratios, "crossover_insert": crossover}))
 
 
 if __name__ == "__main__":
