@@ -30,8 +30,9 @@ VIEWS = {
 #: Columns of the tables' keys, in whose order files are; a key of each view to read one group or order by.
 ORDER = {"orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"]}
 POINT = {"join": "o_orderkey = 1000", "sum_avg": "l_suppkey = 42", "min_max": "l_suppkey = 42", "distinct": "l_partkey = 1000", "exists": "o_orderkey = 1000", "outer_join": "o_orderkey = 1000"}
-#: Shares of lineitem that a statement inserts, and the next deletes.
+#: Shares of lineitem that a statement inserts once more; of DELETED, as many are deleted again.
 SHARES = {"0.01%": 10000, "0.1%": 1000, "1%": 100, "10%": 10}
+DELETED = "0.1%"
 RUNS = int(os.environ.get("BENCH_RUNS", "5"))
 
 
@@ -58,13 +59,15 @@ def main() -> None:
         point = lambda: engine.read(name).where(POINT[name]).collect()
         seen = {"refresh": [timed(lambda: engine.refresh_view(name)) for _ in range(RUNS + 1)], "read_before": [timed(point) for _ in range(RUNS + 1)], "read_after": []}
         for share, n in SHARES.items():
-            for run in range(RUNS + 1):
+            for run in range(RUNS + (share == "0.01%")):  # the first statement of all is a warm-up
                 rows = lines.where(F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(n)) == run)
                 seen.setdefault(f"insert_{share}", []).append(timed(lambda: engine.insert("lineitem", rows)))
                 if share == "0.01%":
                     seen["read_after"].append(timed(point))
-                seen.setdefault(f"delete_{share}", []).append(timed(lambda: engine.apply({"lineitem": ChangeSet(deleted=rows)})))
-        median = {k: statistics.median(v[1:]) for k, v in seen.items()}
+                if share == DELETED:
+                    seen.setdefault(f"delete_{share}", []).append(timed(lambda: engine.apply({"lineitem": ChangeSet(deleted=rows)})))
+        warm = ("refresh", "read_before", "read_after", "insert_0.01%")
+        median = {k: statistics.median(v[1:] if k in warm else v) for k, v in seen.items()}
         times |= {f"{name}_{k}": round(v, 3) for k, v in median.items()}
         ratios[name] = {k: round(median["refresh"] / v, 2) for k, v in median.items() if k.startswith(("insert", "delete"))}
         slower = [s for s in SHARES if median[f"insert_{s}"] > median["refresh"]]
