@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, hnsw, language_id, licenses, line_dedup, minhash, mixing, packing, topk, vector_dedup
+from tidemark.llm import bpe, chat, hnsw, language_id, licenses, line_dedup, minhash, mixing, packing, topk, vector_dedup
 from tidemark.llm.components import connected_components
 
 WORDS = [f"w{i}" for i in range(300)]
@@ -129,7 +129,7 @@ def test_packing(docs):
     from tokenizers import Tokenizer
     import public_tokenizers
 
-    tok = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    tok = Tokenizer.from_file(public_tokenizers.path(bpe.TOKENIZER))
     for t in ("a..b. C, d., e.\nf,\ng 3.5 x1. Éß ÿ. 'S the ª x\xa0y", "ŁÉ. x", "x\ty. z <|endoftext|>e's", "", "c ́ d"):
         assert tok.encode(t, add_special_tokens=False).ids == np.frombuffer(packing.encode([t])[0], "<u4").tolist()
     pieces = packing.pack(docs.where("doc_id is not null").dropDuplicates(["doc_id"])).collect()
@@ -294,3 +294,17 @@ def test_graph_recall():
     ids, _ = hnsw.Graph(x).search(x[:200], 64)
     best = np.argsort(-(x[:200] @ x.T), axis=1)[:, :10]
     assert np.mean([len(set(a) & set(b)) for a, b in zip(ids, best)]) >= 9
+
+
+def test_merges_like_the_tokenizer():
+    """Words of every length and kind, merged many at a time, as the tokenizer encodes them alone."""
+    full, merges, _ = bpe._tokenizer(None)
+    assert merges is not None
+    letters = [chr(c) for c in range(97, 123)] + ["é", "ü", "ß"]
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(letters, n)) for n in range(1, 90) for _ in range(20)] + ["a" * n for n in range(1, 70)]
+    words += ["international", "unhappiness", "***", "...", "--", "x.", "(ab),", "the!!", "<|endoftext|>", "it's", "12ab"]
+    text = " ".join(words)
+    assert bpe.encode([text, None, "", text + " 一"]) == bpe._whole([text, "", "", text + " 一"], full)
+    short = [w.encode() for w in words if w.isalpha() and len(w.encode()) <= bpe.LONGEST]
+    assert merges.ids(short) == bpe._whole([w.decode() for w in short], full) and merges.ids([]) == []

@@ -13,15 +13,12 @@ nearest of some sampled centres, the second and the third; doc_id and row split
 
 Defined results: null or empty text is its end id alone; repeated rows are packed each, and pieces of a
 row have its number in row; equal scores go to the earlier row; an empty table gives no rows; null
-doc_id is passed on. Other columns are not read. Words are encoded once each where the tokenizer is
-found to encode probes so; else whole texts are.
+doc_id is passed on. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import functools
-import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import encode, vocabulary_size
 from .common import cut, trim
 
 WINDOW, END_ID = 4096, 2
@@ -40,121 +38,7 @@ SHARD_TOKENS, NEXT, K1, B = 1_000_000, 64, 1.2, 0.75
 OFTEN = 12
 #: Documents that centres are learned from, and centres at most; dimensions; shards of a partition.
 SAMPLE, CENTRES, DIMENSIONS, SHARDS = 4000, 256, 96, 4
-#: Bytes of words and ids that a worker learns, each counted as so many more, before those not seen
-#: since are dropped; characters of texts that are encoded together.
-CACHED, ENTRY, GROUP_CHARS = 48 << 20, 150, 4 << 20
-LETTERS = bytes([*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)])
-SIMPLE = LETTERS + bytes([*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]) + b"0123456789 \n.,"
-SMALL = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
-#: Runs into which the tokenizer cuts words of letters and signs, apostrophes and special tokens apart.
-SIGNS = rb"!-&(-/:-@\[-`{-~"
-MIXED = re.compile(rb"[%s\xdf-\xf6\xf8-\xffa-z]+" % SIGNS)
-RUNS = re.compile(rb"[\xdf-\xf6\xf8-\xffa-z]+|[%s]+" % SIGNS)
-TOKENIZER = "word_bpe_49k.json"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row long"
-PROBES = ("The cat's hats. A B c, d.e,f .5 3.5 x1", "\u00c9\u00df \u00ff. S\u00e3o\n\nab\u00aa x\u00a0y\tz", "\u0141\u00c9. \u4e00\u4e8c e\u0301 \U0001f600", "<|endoftext|> a_b--c (d) 'll", " ", "")
-_HELD: dict[str, tuple] = {}
-
-
-def _tokenizer(path: str | None):
-    """The tokenizer, one without its text rules for single words, which ids end a word, and the words
-    so far; once for each worker."""
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path(TOKENIZER)
-    if path not in _HELD:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        full, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        bare.normalizer = None
-        bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocabulary = full.get_vocab()
-        ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        _HELD[path] = (full, bare, ends, [{}, {}, 0, True])
-        try:
-            by_word = encode(list(PROBES), path)
-        except (KeyError, ValueError):
-            by_word = []
-        _HELD[path] = (full, bare, ends, [{}, {}, 0, by_word == _whole(list(PROBES), full)])
-    return _HELD[path]
-
-
-def _whole(texts: list[str], full) -> list[bytes]:
-    return [np.array(e.ids, "<u4").tobytes() for e in full.encode_batch_fast(texts, add_special_tokens=False)]
-
-
-def _learn(new: set, into: dict, path: str | None) -> None:
-    """Adds the ids of words to into. Lower-case letters are one piece for the tokenizer, so a run of
-    such words is encoded at once and told apart by word ends."""
-    full, bare, ends, _ = _tokenizer(path)
-    plain = [w for w in new if type(w) is bytes and w and (w.isalpha() or not w.translate(None, LETTERS))]
-    mixed = {w: RUNS.findall(w) for w in new.difference(plain) if type(w) is bytes and MIXED.fullmatch(w) and b"<|" not in w}
-    mixed = {w: runs for w, runs in mixed.items() if len(runs) > 1}
-    if parts := set().union(*mixed.values()).difference(into, plain):
-        _learn(parts, into, path)
-    other = list(new.difference(plain, mixed))
-    for at in range(0, len(plain), 5000):
-        some = plain[at : at + 5000]
-        ids = np.array(bare.encode(b" ".join(some).decode("latin-1"), add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(ends[ids]) + 1
-        data, cuts = ids.tobytes(), (4 * cuts).tolist()
-        if len(cuts) != len(some):
-            raise ValueError("a word has not one end")
-        into.update(zip(some, [data[i:j] for i, j in zip([0, *cuts], cuts)]))
-    if other:
-        texts = [w if type(w) is str else w.decode("latin-1") for w in other]
-        for w, e in zip(other, full.encode_batch_fast(texts, add_special_tokens=False)):
-            into[w] = np.array(e.ids, "<u4").tobytes()
-    for w, runs in mixed.items():
-        into[w] = b"".join(map(into.__getitem__, runs))
-
-
-def _words(text: str) -> list:
-    """Words whose ids in a row are the text's. The tokenizer never joins across a space or line end.
-    Where a text has Latin-1 characters only, and stops and commas follow letters, digits and white
-    space only, its words are lower-cased and cut off from these, as bytes, of which there are fewer."""
-    try:
-        b = text.encode("latin-1")
-        marks = {*b.translate(None, SIMPLE), 44, 46}
-    except UnicodeEncodeError:
-        marks = None
-    if marks and not any(bytes((x, y)) in b for x in marks for y in (44, 46)):
-        b = b.translate(SMALL)
-        for x in (b".", b","):
-            if x in b:
-                b = b.replace(x + b" ", b" " + x + b" ").replace(x + b"\n", b" " + x + b" ")
-        return b.replace(b"\n", b" ").split(b" ")
-    return text.replace("\n", " ").split(" ")
-
-
-def encode(texts: list[str | None], path: str | None = None) -> list[bytes]:
-    """Ids of each text without special tokens, as little-endian 32-bit."""
-    full, _, _, held = _tokenizer(path)
-    out: list[bytes] = []
-    at = 0
-    while at < len(texts):
-        group, size = [], 0
-        while at < len(texts) and size < GROUP_CHARS:
-            group.append(_words(texts[at] or "") if held[3] else texts[at] or "")
-            size += len(texts[at] or "")
-            at += 1
-        if not held[3]:
-            out += _whole(group, full)
-            continue
-        if held[2] > CACHED:
-            held[:3] = {}, held[0], 0
-        known, before = held[:2]
-        words = set().union(*group).difference(known)
-        again = words.intersection(before)
-        known.update(zip(again, map(before.__getitem__, again)))
-        if new := words - again:
-            _learn(new, known, path)
-        held[2] += sum(len(w) + len(known[w]) + ENTRY for w in words)
-        out += [b"".join(map(known.__getitem__, words)) for words in group]
-    return out
 
 
 def _ids(texts: pa.Array, path: str | None) -> Iterator[np.ndarray]:
@@ -355,7 +239,7 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, wi
             for key, row, x in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), b.column("ids")):
                 keys.append(key)
                 numbers.append(row)
-                ids.append(np.frombuffer(x.as_py(), "<u4"))
+                ids.append(np.frombuffer(x.as_buffer(), stored).astype("<u4"))
                 size += len(ids[-1])
                 if size >= SHARD_TOKENS:
                     out, sequence = shard(keys, numbers, ids, sequence)
@@ -375,7 +259,8 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, wi
 
     some = docs.sample(min(1.0, SAMPLE / max(1, n)), 0).mapInArrow(count_some, "size long, terms binary, weights binary").collect()
     tokens = sum(r["size"] for r in some) * n // max(1, len(some))
-    size = len(_tokenizer(tokenizer)[2])
+    size = vocabulary_size(tokenizer)
+    stored = "<u2" if size <= 1 << 16 else "<u4"
     order = Order([(np.frombuffer(r["terms"], "<i4"), np.frombuffer(r["weights"], "<f4")) for r in some], tokens, SHARD_TOKENS, size)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,7 +272,7 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, wi
             ids, places = [], []
             for x in _ids(b.column("text"), tokenizer):
                 terms, weight = _counts(x)
-                ids.append(x.tobytes())
+                ids.append(x.astype(stored).tobytes())
                 places.append(order.key(terms, weight))
                 df[terms] += 1
                 length += len(x)
