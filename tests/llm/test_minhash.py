@@ -6,7 +6,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.llm import minhash
+from tidemark.llm import components, minhash
 
 
 def plain_sets(texts, k):
@@ -68,3 +68,43 @@ def test_blocks_of_a_bucket(spark, monkeypatch):
 def test_minima_are_of_whole_sets():
     sets = list(minhash.shingle_sets(["a b c d e f g", "b c d e f g h " * 3], 2))
     assert (minhash.minima(sets, 8)[0] == minhash.minima(sets[:1], 8)[0]).all() and np.unique(sets[1]).size == sets[1].size
+
+
+def test_components_of_many_tasks(spark, monkeypatch):
+    """Edges that tasks join a few at a time, a hub among them, and what is there already as stars."""
+    monkeypatch.setattr(components, "JOINED", 7)
+    draw = random.Random(3)
+    edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(200)] + [(i + 1, i) for i in range(1000, 1060)] + [(2000, i) for i in range(1900, 2100, 2)]
+    draw.shuffle(edges)
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        p, q = sorted((top(a), top(b)))
+        up[q] = p
+    met = {x for e in edges for x in e if e[0] != e[1]}
+    got = components.connected_components(spark.createDataFrame(edges, "u long, v long").repartition(9)).collect()
+    assert sorted(got) == sorted((x, top(x)) for x in met)
+    u, v = (np.array(c, np.int64) for c in zip(*edges))
+    hung = dict(zip(*map(np.ndarray.tolist, components._stars(u, v))))
+    assert hung == {x: top(x) for x in met if top(x) != x}
+
+
+def test_few_tables_are_written(spark, monkeypatch):
+    """Each table costs a task for every shuffle partition: what is joined already is not joined again."""
+    written = []
+    for module in (components, minhash):
+        monkeypatch.setattr(module, "cut", lambda df, cut=module.cut: written.append(df.columns) or cut(df))
+    pairs = [(2 * i + 1, 2 * i) for i in range(50)] + [(i + 1, i) for i in range(200, 300)]
+    got = dict(components.connected_components(spark.createDataFrame(pairs, "u long, v long").coalesce(1)).collect())
+    assert got == {i: i - i % 2 for i in range(100)} | {i: 200 for i in range(200, 301)}
+    assert len(written) == 2
+    written.clear()
+    texts = [f"{' '.join(f'g{i // 4}w{j}' for j in range(40))} {'x y z'[: 1 + i % 4]}" for i in range(40)]
+    got = minhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), words=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 4 for i in range(40)}
+    assert len(written) <= 24

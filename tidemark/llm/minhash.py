@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop, trim
@@ -293,10 +293,10 @@ class NearDedup:
         """Of candidate pairs a, b: those whose signatures agree and whose sets link."""
         sig = reps.select(F.col("rep"), "sig")
         signed = pairs.join(sig.toDF("a", "s1"), "a").join(sig.toDF("b", "s2"), "b").select("a", "b", "s1", "s2")
-        near = cut(signed.mapInArrow(_agree(self.least, self.hashes), "a long, b long").distinct())
+        near = cut(signed.mapInArrow(_agree(self.least, self.hashes), "a long, b long"))
         whole = self.whole(near.select(F.col("a").alias("d")).union(near.select("b")).distinct())
         joined = near.join(whole.toDF("a", "w1"), "a").join(whole.toDF("b", "w2"), "b").select("a", "b", "w1", "w2")
-        links = cut(joined.mapInArrow(_verify(self.percent), "a long, b long").distinct())
+        links = cut(joined.mapInArrow(_verify(self.percent), "a long, b long"))
         drop(whole, near)
         return links
 
@@ -314,22 +314,20 @@ class NearDedup:
         band = F.transform(F.sequence(F.lit(0), F.lit(self.bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width))))
         keyed = reps.select("rep", "n", F.explode(band).alias("key"))
         sizes = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-        shared = cut(keyed.join(sizes, "key"))
-        weight = cut(shared.groupBy("rep").agg(F.sum("size").alias("weight")))
-        leaders = shared.join(weight, "rep").groupBy("key").agg(F.max(F.struct("weight", -F.col("rep"))).alias("top"))
+        # a class has a row for each band, so that no window is large
+        shared = cut(keyed.join(sizes, "key").withColumn("weight", F.sum("size").over(Window.partitionBy("rep"))))
+        leaders = shared.groupBy("key").agg(F.max(F.struct("weight", -F.col("rep"))).alias("top"))
         leaders = cut(leaders.select("key", (-F.col("top.col2")).alias("leader")))
-        out = cut(shared.join(leaders, "key"))
-        drop(sizes, shared, weight, leaders)
+        out = cut(shared.drop("weight").join(leaders, "key"))
+        drop(sizes, shared, leaders)
         return out
 
-    def left(self, buckets: DataFrame, reps: DataFrame, links: DataFrame) -> DataFrame | None:
+    def left(self, buckets: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame | None:
         """Links across components of buckets that still have several; None if none has. Of buckets with
         the same classes, one is looked at."""
-        comps = cut(connected_components(links.toDF("u", "v")))
         of = cut(buckets.where("size > 2").join(comps.toDF("rep", "comp"), "rep", "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp")))
         several = of.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size"), F.sum(8 * F.col("n")).alias("bytes"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("print")).where("x <> y")
         several = cut(several.groupBy("size", "bytes", "print", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")))
-        drop(comps)
         if several.isEmpty():
             drop(of, several)
             return None
@@ -340,21 +338,21 @@ class NearDedup:
         # a block meets each other one under a key of the two
         rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).withColumn("side", F.when(F.col("block") == F.col("i"), 0).otherwise(1))
-        found = cut(rows.select("key", "i", "j", "side", "rep", "comp", "sig", "whole").groupBy("key", "i", "j").applyInPandas(_across(self.least, self.hashes, self.percent), "a long, b long").distinct())
+        found = cut(rows.select("key", "i", "j", "side", "rep", "comp", "sig", "whole").groupBy("key", "i", "j").applyInPandas(_across(self.least, self.hashes, self.percent), "a long, b long"))
         drop(held, whole)
         return found
 
     def links(self, reps: DataFrame) -> DataFrame:
+        """a, b: pairs that join what links join; those of the leaders as stars."""
         buckets = self.buckets(reps)
         led = buckets.where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
         links = self.pairs(led, reps)
-        more = self.left(buckets, reps, links)
-        drop(buckets)
-        if more is None:
-            return links
-        both = cut(links.union(more))
-        drop(links, more)
-        return both
+        comps = connected_components(links.toDF("u", "v"))
+        more = self.left(buckets, reps, comps)
+        stars = comps.where("node <> component").toDF("a", "b")
+        stars = cut(stars.union(more) if more is not None else stars)
+        drop(buckets, links, comps, *([] if more is None else [more]))
+        return stars
 
 
 def near_dedup(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, key: Column | None = None) -> DataFrame:
