@@ -125,6 +125,23 @@ def test_components(spark):
     assert all(got.get(x, x) == top(x) for x in up)
 
 
+def test_terms_and_places(monkeypatch):
+    """Terms, weights and places are plain ones; a place takes no sort of all centres."""
+    draw = np.random.default_rng(4)
+    ids = [np.append(draw.zipf(1.3, n) % 49152, packing.END_ID).astype("<u2") for n in (0, 1, 2, 3000)]
+    for x in ids:
+        terms, tf = np.unique(x[:-1], return_counts=True)
+        got, weight = packing._counts(x)
+        assert got.tolist() == terms.tolist() and weight.tolist() == np.log1p(tf).astype("f4").tolist()
+    sample = [packing._counts(np.append(draw.zipf(1.3, 50) % 49152, packing.END_ID)) for _ in range(300)]
+    for some in ([], sample[:2], sample):
+        order = packing.Order(some, 10**9, 1000, 49152)
+        nears = [np.argsort(-(order.centres @ order.project(*s)), kind="stable")[:3].tolist() for s in sample]
+        with monkeypatch.context() as m:
+            m.setattr(packing.np, "argsort", None)
+            assert [order.key(*s) for s in sample] == [sum(c * packing.CENTRES ** (2 - i) for i, c in enumerate(near)) for near in nears]
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
     import public_tokenizers

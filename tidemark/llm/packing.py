@@ -51,8 +51,11 @@ def _ids(texts: pa.Array, path: str | None) -> Iterator[np.ndarray]:
 
 def _counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A document's terms but for the end, and the weights of their counts."""
-    terms, tf = np.unique(ids[:-1], return_counts=True)
-    return terms, np.log1p(tf).astype("f4")
+    x = np.sort(ids[:-1])
+    first = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=first[1:])
+    at = np.flatnonzero(first)
+    return x[at].astype(np.int64), np.log1p(np.diff(at, append=len(x))).astype("f4")
 
 
 @functools.lru_cache(1)
@@ -82,12 +85,16 @@ class Order:
         self.centres = c[chain]
 
     def project(self, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        x = (weight * self.idf[terms]) @ _axes(len(self.idf))[terms]
+        x = (weight * self.idf[terms]) @ _axes(len(self.idf)).take(terms, 0)
         return x / max(1e-9, float(np.sqrt(x @ x)))
 
     def key(self, terms: np.ndarray, weight: np.ndarray) -> int:
-        near = np.argsort(-(self.centres @ self.project(terms, weight)), kind="stable")[:3].tolist()
-        return sum(c * CENTRES ** (2 - i) for i, c in enumerate(near))
+        close, place = self.centres @ self.project(terms, weight), 0
+        for i in range(min(3, len(close))):
+            c = int(close.argmax())
+            place += c * CENTRES ** (2 - i)
+            close[c] = -np.inf
+        return place
 
 
 class Index:
