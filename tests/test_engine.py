@@ -463,3 +463,20 @@ def test_queries_have_sql():
     import __spark_entry__ as e
 
     assert {n for n in e.queries() if not n.startswith("op") and n != "pipeline"} <= set(e.oracle_sql())
+
+
+def test_joins_of_a_statement_do_not_pass_the_driver(spark, tmp_path, monkeypatch):
+    """Sides of joins above a small limit are shuffled, smaller ones broadcast."""
+    e = ViewEngine(spark, f"file://{tmp_path}")
+    some = spark.range(60000).selectExpr("xxhash64(id) as i", "id as j")
+    e.create_table("a", some)
+    e.create_table("b", some.withColumnRenamed("j", "k"))
+    e.create_table("c", spark.range(9).selectExpr("id as j"))
+    plans, observed = [], e.store.observed
+    monkeypatch.setattr(e.store, "observed", lambda df, *args: plans.append(plan_of(df)) or observed(df, *args))
+    e.create_view("v", "select a.i, b.i as bi, j, k from a left join b on a.i = b.i")
+    e.insert("b", some.selectExpr("i", "-j as k"))
+    assert not any("Broadcast" in p for p in plans)
+    assert e.read("v").count() == 120000
+    e.create_view("w", "select a.i, c.j from a join c on a.j = c.j")
+    assert "BroadcastHashJoin" in plans[-1]

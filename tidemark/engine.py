@@ -285,6 +285,11 @@ class ViewEngine:
         kind = SHARED if adds and len(changes) == 1 and all(self._view(v, catalog).alone() for v in on) else EXCLUSIVE
         for name in [*sorted(changes), *on]:
             self._take(name, kind)
+        with self.store.planned():
+            self._carried_out(changes, unsure, on, kind)
+
+    def _carried_out(self, changes: dict[str, list[DataFrame]], unsure: set[str], on: list[str], kind: str) -> None:
+        catalog = self._local.staged
         before = copy.deepcopy(catalog["tables"])
         deltas: dict[str, DataFrame] = {}
         ranges: dict[str, dict] = {}
@@ -504,9 +509,10 @@ class ViewEngine:
         """Writes a view from its tables as they are; its number of rows."""
         v, view = catalog["views"][name], self._view(name, catalog)
         tables = self._tables(name, catalog, catalog["tables"], {})
-        rows = merge.stored(view, Delta(tables).post(view.body))
         n = F.sum(W) if view.kind == "bag" else F.count(F.lit(1))
-        file, seen = self.store.observed(self._shaped(rows, v), [n.alias("n")], v["keys"])
+        with self.store.planned():
+            rows = merge.stored(view, Delta(tables).post(view.body))
+            file, seen = self.store.observed(self._shaped(rows, v), [n.alias("n")], v["keys"])
         v |= {"files": [file], "signed": False, "maintained": True, "populated": True, "changed": v["changed"] + 1}
         return seen.get("n") or 0
 

@@ -12,7 +12,10 @@ the file system's does, as HDFS's; elsewhere a look before it does.)
 from __future__ import annotations
 
 import json
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,9 @@ W = "__w"
 FOLD, SHARE = 8, 0.5
 #: Copies of a row that are made from one array; more take several.
 COPIES = 4096
+#: Bytes up to which a side of a join is sent through the driver to all executors. A statement has as many
+#: such joins as views times tables, so what they send together has to be little beside a driver's memory.
+BROADCAST = 256 << 10
 TAKEN = "another driver has published version %d"
 
 
@@ -36,6 +42,20 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.path))
+        self._local = threading.local()
+
+    @contextmanager
+    def planned(self) -> Iterator[None]:
+        """What this thread reads inside is planned in a session of its own, for many joins of any size."""
+        outer = getattr(self._local, "spark", None)
+        own = SparkSession(self.spark.sparkContext, self.spark._jsparkSession.cloneSession())
+        limit = own._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+        own.conf.set("spark.sql.autoBroadcastJoinThreshold", str(min(limit, BROADCAST)))
+        self._local.spark = own
+        try:
+            yield
+        finally:
+            self._local.spark = outer
 
     def write(self, df: DataFrame, keys: list[str] | None = None) -> str:
         """A new file of df, by its name; in ranges of keys if there are some."""
@@ -55,9 +75,10 @@ class Store:
         return where, found.get
 
     def read(self, files: list[str], schema: T.StructType) -> DataFrame:
+        spark = getattr(self._local, "spark", None) or self.spark
         if not files:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in files])
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in files])
 
     def drop(self, files: list[str]) -> None:
         for f in files:
