@@ -480,3 +480,33 @@ def test_joins_of_a_statement_do_not_pass_the_driver(spark, tmp_path, monkeypatc
     assert e.read("v").count() == 120000
     e.create_view("w", "select a.i, c.j from a join c on a.j = c.j")
     assert "BroadcastHashJoin" in plans[-1]
+
+
+def test_a_large_table_is_not_shuffled_for_what_changes(spark, tmp_path, monkeypatch):
+    """Rows to take are looked for among few rows of their table, and a table is joined once with what
+    changes in the others."""
+    from pyspark.sql import functions as F
+
+    from tidemark.sources.storage import W, among
+
+    e = ViewEngine(spark, f"file://{tmp_path}")
+    some = spark.range(50000).selectExpr("xxhash64(id) as i", "cast(id as decimal(9,2)) as d", "if(id % 3 = 0, null, cast(id % 2 as double) - 1) as x", "cast(id as string) as s", "id as j")
+    e.create_table("a", some.unionByName(some.where("j < 10")))
+    e.create_table("b", some.selectExpr("i", "j % 50 as k"), cluster_by=["k"])
+    e.create_table("c", spark.range(50).selectExpr("id as k", "id % 7 as g"))
+    gone = some.where("j % 1000 = 0 or j = 3")
+    few = gone.withColumn(W, F.lit(-1))
+    found = among(e._rows("a", e.catalog), few, some.columns, few.count())
+    assert few.count() <= found.count() < 6000 and gone.join(found, "i", "left_anti").count() == 0
+    e.create_view("v", "select g, count(*) as n, sum(a.j) as s from a join b on a.i = b.i join c on b.k = c.k group by g")
+    plans, observed = [], e.store.observed
+    monkeypatch.setattr(e.store, "observed", lambda df, *args: plans.append(plan_of(df)) or observed(df, *args))
+    old = gone.unionByName(gone).unionByName(some.where("j = 4").withColumn("x", F.lit(9.5)))
+    e.apply({"a": ChangeSet(deleted=old), "b": ChangeSet(inserted=some.selectExpr("-i as i", "j % 50 as k"), deleted=some.where("j % 9 = 0").selectExpr("i", "j % 50 as k")), "c": ChangeSet(deleted=spark.range(3).selectExpr("id as k", "id % 7 as g"))})
+    assert e.read("a").count() == 50010 - 53  # of rows 0 and 3 both copies
+    for t in ("a", "b", "c"):
+        e.read(t).createOrReplaceTempView(t)
+    wanted = spark.sql("select g, count(*) as n, sum(a.j) as s from a join b on a.i = b.i join c on b.k = c.k group by g")
+    assert sorted(map(tuple, e.read("v").collect())) == sorted(map(tuple, wanted.collect()))
+    files = e.catalog["tables"]["a"]["files"]
+    assert len([x for x in plans[-1].split("\n") if "InMemoryFileIndex" in x and files[0] in x]) == 1

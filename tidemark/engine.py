@@ -20,7 +20,7 @@ from .locks import EXCLUSIVE, SHARED, Locks
 from .operators import merge
 from .operators.delta import Delta
 from .plans import analyze, deparse, ir
-from .sources.storage import FOLD, W, Store, expanded, netted
+from .sources.storage import FOLD, W, Store, among, expanded, netted
 
 WRITE = "cannot change materialized view \"%s\""
 STALE = "the materialized view is incrementally updated in concurrent transaction"
@@ -301,7 +301,7 @@ class ViewEngine:
             file, seen = self._written(name, rows, catalog)
             if name in unsure and seen["taken"]:
                 first = file
-                file, seen = self._written(name, self._there(name, self._rows(name, catalog, [first]), catalog), catalog)
+                file, seen = self._written(name, self._there(name, self._rows(name, catalog, [first]), catalog, seen["taken"]), catalog)
                 self.store.drop([first])
             if not seen["n"]:
                 self.store.drop([file])
@@ -336,15 +336,14 @@ class ViewEngine:
         file, found = self.store.observed(rows.select(*[F.col(f"`{c}`") for c in schema.names], W).toDF(*stored, W), seen)
         return file, {"n": 0, "taken": 0} | found
 
-    def _there(self, name: str, change: DataFrame, catalog: dict) -> DataFrame:
-        """A netted change without the copies of rows to take that the table does not have."""
+    def _there(self, name: str, change: DataFrame, catalog: dict, n: int) -> DataFrame:
+        """A netted change, n of whose rows are taken, without the copies of these that the table does not have."""
         cols = self.table_schema(name).names
-        gone = change.where(F.col(W) < 0).toDF(*[f"g{i}" for i in range(len(cols))], "__g")
-        same = F.lit(True)
-        for i, c in enumerate(cols):
-            same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"g{i}"))
-        held = netted(self._rows(name, catalog).join(gone.drop("__g"), same, "left_semi"), cols)
-        taken = held.join(gone, same).select(*[F.col(f"`{c}`") for c in cols], (-F.least(F.col(W), -F.col("__g"))).alias(W))
+        gone, zero = change.where(F.col(W) < 0), F.lit(0).cast("long")
+        held = among(self._rows(name, catalog), gone, cols, n).withColumn("__g", zero)
+        both = held.unionByName(gone.select(*[F.col(f"`{c}`") for c in cols], zero.alias(W), (-F.col(W)).alias("__g")))
+        summed = both.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.sum(W).alias(W), F.sum("__g").alias("__g"))
+        taken = summed.select(*[F.col(f"`{c}`") for c in cols], (-F.least(W, "__g")).alias(W))
         return change.where(F.col(W) > 0).unionByName(taken.where(F.col(W) < 0))
 
     def truncate(self, table: str) -> None:

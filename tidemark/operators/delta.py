@@ -33,6 +33,20 @@ def _union(parts: list[DataFrame | None]) -> DataFrame | None:
     return reduce(DataFrame.unionByName, there) if there else None
 
 
+def _plain(n: ir.Node) -> bool:
+    return isinstance(n, ir.Join) and n.kind == "inner" and n.plain
+
+
+def _turned(n: ir.Join) -> ir.Join:
+    """(a, b), c as a, (b, c) where c is joined to b alone, so that a is joined once with what changes in
+    either, which is less than both of them. Conditions are equalities and can't fail on more rows."""
+    if _plain(n) and _plain(n.left) and all(x in n.left.right.cols for x, _ in n.equal):
+        a, b = n.left.left, n.left.right
+        rest = ir.Join([*b.cols, *n.right.cols], b, n.right, "inner", n.condition, None, n.equal, True)
+        return _turned(ir.Join(n.cols, a, rest, "inner", n.left.condition, None, n.left.equal, True))
+    return n
+
+
 class Delta:
     def __init__(self, tables: Tables, signed: Callable[[str], bool] = lambda table: False, ranges: Ranges = lambda table: {}):
         self.tables, self.signed, self.ranges = tables, signed, ranges
@@ -100,6 +114,10 @@ class Delta:
         if isinstance(n, ir.Project):
             below = self.bounds(n.child)
             return {c: below[p] for c, p in zip(n.cols, n.plain) if p in below}
+        if isinstance(n, ir.Join) and n.kind == "inner":
+            # where both sides change, rows of either are in the delta that its own change does not hold
+            sides = [x for x in (n.left, n.right) if self._changes(x)]
+            return self.bounds(sides[0]) if len(sides) == 1 else {}
         return {}
 
     def _near(self, df: DataFrame, by: ir.Node, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -126,11 +144,12 @@ class Delta:
             return None if d is None else self._generate(n, d)
         if isinstance(n, ir.Exists):
             return self._exists(n)
+        n = _turned(n)
         left, right = self.delta(n.left), self.delta(n.right)
         back = [(r, x) for x, r in n.equal]
         if n.kind == "inner":
             return _union([
-                None if left is None else self._product(left, self._near(self.pre(n.right), n.left, n.equal), n),
+                None if left is None else self._before(left, n),
                 None if right is None else self._product(self._near(self.post(n.left), n.right, back), right, n),
             ])
         return _union([
@@ -138,6 +157,18 @@ class Delta:
             None if right is None else self._outer(n, right, self._near(self.post(n.left), n.right, back), n.right, n.left, n.keys[1], n.keys[0], n.kind in ("right", "full"), n.kind in ("left", "full")),
         ])
 
+    def _before(self, d: DataFrame, n: ir.Join) -> DataFrame:
+        """d, the delta of n's left side, with the state before of its right side: where that is a join too,
+        first with the part that d is joined to, as a join of the parts may be much larger."""
+        r = n.right
+        if _plain(n) and _plain(r) and all(y in r.left.cols for _, y in n.equal):
+            first = ir.Join([*n.left.cols, *r.left.cols], n.left, r.left, "inner", n.condition, None, n.equal, True)
+            return self._product(self._before(d, first), self.pre(r.right), ir.Join(n.cols, first, r.right, "inner", r.condition, None, r.equal, True))
+        return self._product(d, self._near(self.pre(r), n.left, n.equal), n)
+
+    def _changes(self, n: ir.Node) -> bool:
+        return any(isinstance(x, ir.Scan) and self.tables(x.table, "delta") is not None for x in ir.walk(n))
+
     def _outer(self, n: ir.Join, d: DataFrame, other: DataFrame, own_node: ir.Node, other_node: ir.Node, own: str, key: str, keeps: bool, other_keeps: bool) -> DataFrame | None:
         """Change of an outer join when one side changes by d. keeps: rows of d's side without a match
         stay, null-extended; other_keeps: those of the other side do. Of either state, only rows of d's

@@ -54,6 +54,7 @@ class Join(Node):
     condition: Any
     keys: tuple[str, str] | None = None
     equal: list[tuple[str, str]] = field(default_factory=list)  # columns of left and right that have to be equal
+    plain: bool = False  # the condition asks for no more than that
 
 
 @dataclass

@@ -32,6 +32,8 @@ COPIES = 4096
 #: Bytes up to which a side of a join is sent through the driver to all executors. A statement has as many
 #: such joins as views times tables, so what they send together has to be little beside a driver's memory.
 BROADCAST = 256 << 10
+#: Places that a map of rows has for each, and that one of its pieces has, as bitmap_construct_agg makes them.
+PLACES, PIECE = 16, 32768
 TAKEN = "another driver has published version %d"
 
 
@@ -129,3 +131,18 @@ def expanded(df: DataFrame, cols: list[str]) -> DataFrame:
     rounds = df.where(F.col(W) > 0).withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({W} - 1) div {COPIES}"))))
     left = F.least(F.lit(COPIES).cast("long"), F.col(W) - F.col("__i") * COPIES).cast("int")
     return rounds.select(*[F.col(f"`{c}`") for c in cols], F.explode(F.array_repeat(F.lit(1), left)).alias("__i")).drop("__i")
+
+
+def among(df: DataFrame, some: DataFrame, cols: list[str], n: int) -> DataFrame:
+    """Rows of df that may be among the n rows of some: those with a mark at the place of their hash. The
+    others, but for a sixteenth at most, are gone before anything is shuffled."""
+    size = max(PIECE, 1 << (PLACES * n - 1).bit_length())
+    # strings of other collations may be equal and have different hashes
+    own = [F.col(f"`{c}`") for c in cols if "collat" not in df.schema[c].json().lower()]
+    place = F.pmod(F.xxhash64(F.lit(0), *own), F.lit(size))
+    piece, at = lambda p: F.shiftright(p, 15), lambda p: p.bitwiseAND(F.lit(PIECE - 1))
+    marks = some.select(place.alias("__p")).groupBy(piece(F.col("__p")).alias("__piece")).agg(F.bitmap_construct_agg(at(F.col("__p"))).alias("__marks"))
+    rows = df.withColumn("__p", place)
+    byte = F.conv(F.hex(F.substring("__marks", F.shiftright(at(F.col("__p")), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = rows.join(F.broadcast(marks), piece(F.col("__p")) == F.col("__piece")).where(F.getbit(byte, at(F.col("__p")).bitwiseAND(F.lit(7)).cast("int")) == 1)
+    return marked.select(*[F.col(f"`{c}`") for c in df.columns])
