@@ -510,3 +510,24 @@ def test_a_large_table_is_not_shuffled_for_what_changes(spark, tmp_path, monkeyp
     assert sorted(map(tuple, e.read("v").collect())) == sorted(map(tuple, wanted.collect()))
     files = e.catalog["tables"]["a"]["files"]
     assert len([x for x in plans[-1].split("\n") if "InMemoryFileIndex" in x and files[0] in x]) == 1
+
+
+def test_tasks_of_a_statement_are_bounded(spark, tmp_path, monkeypatch):
+    """Partitions of a statement's shuffles are as many as its tables' bytes ask for."""
+    import re
+
+    from tidemark.sources import storage
+
+    monkeypatch.setattr(storage, "TASK", 64 << 10, raising=False)
+    e = ViewEngine(spark, f"file://{tmp_path}")
+    some = spark.range(60000).selectExpr("xxhash64(id) as i", "id as j")
+    e.create_table("a", some)
+    e.create_table("b", some.withColumnRenamed("j", "k"))
+    plans, observed = [], e.store.observed
+    monkeypatch.setattr(e.store, "observed", lambda df, *args: plans.append(plan_of(df)) or observed(df, *args))
+    e.create_view("v", "select a.i, b.i as bi, j, k from a left join b on a.i = b.i")
+    size = sum(e.store.size(f) for t in ("a", "b") for f in e.catalog["tables"][t]["files"]) if hasattr(e.store, "size") else 1 << 20
+    assert {int(x) for x in re.findall(r"hashpartitioning\(.*, (\d+)\)", plans[-1])} == {-(-size // (64 << 10))}
+    e.insert("b", some.selectExpr("i", "-j as k"))
+    assert min(int(x) for x in re.findall(r"hashpartitioning\(.*, (\d+)\)", plans[-1])) > size >> 16
+    assert e.read("v").count() == 120000

@@ -6,7 +6,7 @@ import copy
 import json
 import threading
 import warnings
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -285,7 +285,7 @@ class ViewEngine:
         kind = SHARED if adds and len(changes) == 1 and all(self._view(v, catalog).alone() for v in on) else EXCLUSIVE
         for name in [*sorted(changes), *on]:
             self._take(name, kind)
-        with self.store.planned():
+        with self.store.planned(self._files({*changes, *on, *(t for v in on for t in catalog["views"][v]["tables"].values())}, catalog)):
             self._carried_out(changes, unsure, on, kind)
 
     def _carried_out(self, changes: dict[str, list[DataFrame]], unsure: set[str], on: list[str], kind: str) -> None:
@@ -325,6 +325,9 @@ class ViewEngine:
                 t["files"] = [*t["files"][:at], folded]
                 t["signed"] = bool(at and t.get("signed"))
 
+    def _files(self, relations: Iterable[str], catalog: dict) -> list[str]:
+        return [f for n in relations for f in self._relation(catalog, n)["files"]]
+
     def _written(self, name: str, rows: DataFrame, catalog: dict) -> tuple[str, dict]:
         """A new file of a table's change, with its numbers of rows and ranges."""
         schema, t = self.table_schema(name), catalog["tables"][name]
@@ -509,7 +512,7 @@ class ViewEngine:
         v, view = catalog["views"][name], self._view(name, catalog)
         tables = self._tables(name, catalog, catalog["tables"], {})
         n = F.sum(W) if view.kind == "bag" else F.count(F.lit(1))
-        with self.store.planned():
+        with self.store.planned(self._files(v["tables"].values(), catalog)):
             rows = merge.stored(view, Delta(tables).post(view.body))
             file, seen = self.store.observed(self._shaped(rows, v), [n.alias("n")], v["keys"])
         v |= {"files": [file], "signed": False, "maintained": True, "populated": True, "changed": v["changed"] + 1}

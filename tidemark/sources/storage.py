@@ -32,6 +32,9 @@ COPIES = 4096
 #: Bytes up to which a side of a join is sent through the driver to all executors. A statement has as many
 #: such joins as views times tables, so what they send together has to be little beside a driver's memory.
 BROADCAST = 256 << 10
+#: Bytes that a task of a statement reads of a shuffle: what it holds in sorts is many times as much, and a
+#: shuffle's partitions as many as its tables' files have bytes for.
+TASK = 8 << 20
 #: Places that a map of rows has for each, and that one of its pieces has, as bitmap_construct_agg makes them.
 PLACES, PIECE = 16, 32768
 TAKEN = "another driver has published version %d"
@@ -47,12 +50,17 @@ class Store:
         self._local = threading.local()
 
     @contextmanager
-    def planned(self) -> Iterator[None]:
-        """What this thread reads inside is planned in a session of its own, for many joins of any size."""
+    def planned(self, files: list[str]) -> Iterator[None]:
+        """What this thread reads inside is planned in a session of its own, for many joins of any size.
+        files: what they read."""
         outer = getattr(self._local, "spark", None)
+        size = sum(self.size(f) for f in files)
         own = SparkSession(self.spark.sparkContext, self.spark._jsparkSession.cloneSession())
         limit = own._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
         own.conf.set("spark.sql.autoBroadcastJoinThreshold", str(min(limit, BROADCAST)))
+        partitions = max(int(own.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK))
+        own.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(partitions))
+        own.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(TASK))
         self._local.spark = own
         try:
             yield
@@ -86,9 +94,12 @@ class Store:
         for f in files:
             self._fs.delete(self._path(f"{self.path}/{f}"), True)
 
+    def size(self, file: str) -> int:
+        return self._fs.getContentSummary(self._path(f"{self.path}/{file}")).getLength()
+
     def tail(self, files: list[str]) -> int:
         """From which of the files on to fold: two at least, and each that is not large beside the rest."""
-        sizes = [self._fs.getContentSummary(self._path(f"{self.path}/{f}")).getLength() for f in files]
+        sizes = [self.size(f) for f in files]
         at, total = len(files) - 2, sum(sizes[-2:])
         while at > 0 and SHARE * sizes[at - 1] <= total:
             at -= 1
